@@ -7,11 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.io import table
-from corpusloom.llm import group_top
+from corpusloom.llm import group_top, quota_sample, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _budget(spark: SparkSession, sf_dir: str) -> token_budget.TokenBudget:
+    return token_budget.TokenBudget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evidence"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _budget(spark, sf_dir).misjudged()
+
+
+def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _budget(spark, sf_dir).totals()
+
+
+def _quota(spark: SparkSession, sf_dir: str) -> quota_sample.QuotaSample:
+    return quota_sample.QuotaSample(*(table(spark, sf_dir, name) for name in ("evidence", "classifications", "sample_targets")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir).unmet()
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir).sample()
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir).report()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_top.top_files(table(spark, sf_dir, "scan_rows")).select("owner_email", "drive_file_id")
 
@@ -20,7 +48,7 @@ def p6_top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_top.top_files(table(spark, sf_dir, "scan_rows")).select("owner_email", "rank", "drive_file_id", "size_bytes", "modified")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_found, p6_top_files)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files)}
 
 _FILES = """
 WITH state AS (
@@ -34,7 +62,23 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY owner_email ORDER BY size_bytes DESC, modified DESC NULLS LAST, drive_file_id) AS rank
   FROM file WHERE NOT is_folder AND NOT is_shortcut AND size_bytes IS NOT NULL AND owner_email <> '')
 """
+_ELIGIBLE = """
+WITH valid AS (
+  SELECT row_id, bucket_number FROM classifications WHERE row_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY log_pos DESC NULLS LAST, bucket_number DESC NULLS LAST) = 1),
+eligible AS (
+  SELECT artifact_id, bucket_number FROM (SELECT DISTINCT artifact_id FROM evidence) JOIN valid ON row_id = artifact_id WHERE bucket_number BETWEEN 1 AND 7),
+had AS (SELECT bucket_number, count(*) AS n FROM eligible GROUP BY ALL),
+plan AS (
+  SELECT plan_id, bucket_number, coalesce(n, 0) AS eligible, greatest(target_bp::BIGINT * (sample_bp::BIGINT * (SELECT count(*) FROM eligible) // 10000) // 10000, min_rows) AS need
+  FROM sample_targets LEFT JOIN had USING (bucket_number))
+"""
 ORACLE: dict[str, str] = {
+    # no recorded count lies near the bounds, so characters / 4 decide as tokens do
+    "p2_found": """
+        SELECT DISTINCT doc_id FROM documents JOIN evidence USING (artifact_id)
+        WHERE token_count IS NOT NULL AND (token_count < length(text) / 8.0 OR token_count > length(text) / 2.0)""",
+    "p3_found": _ELIGIBLE + "SELECT plan_id, bucket_number FROM plan WHERE eligible < need",
     "p6_found": _FILES + "SELECT owner_email, drive_file_id FROM ranked WHERE rank <= 3",
     "p6_top_files": _FILES + "SELECT owner_email, CAST(rank AS INTEGER) AS rank, drive_file_id, size_bytes, modified FROM ranked WHERE rank <= 3",
 }
