@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.io import table
-from corpusloom.llm import group_top, quota_sample, token_budget
+from corpusloom.llm import containers, group_top, mixing, quota_sample, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +48,39 @@ def p6_top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_top.top_files(table(spark, sf_dir, "scan_rows")).select("owner_email", "rank", "drive_file_id", "size_bytes", "modified")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files)}
+def _containers(spark: SparkSession, sf_dir: str) -> containers.Containers:
+    return containers.Containers(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir).oversize()
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir).contents()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir).report()
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).unreachable()
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).chosen()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares)}
 
 _FILES = """
 WITH state AS (
@@ -81,4 +113,10 @@ ORACLE: dict[str, str] = {
     "p3_found": _ELIGIBLE + "SELECT plan_id, bucket_number FROM plan WHERE eligible < need",
     "p6_found": _FILES + "SELECT owner_email, drive_file_id FROM ranked WHERE rank <= 3",
     "p6_top_files": _FILES + "SELECT owner_email, CAST(rank AS INTEGER) AS rank, drive_file_id, size_bytes, modified FROM ranked WHERE rank <= 3",
+    # no document lies near the bound, so characters / 4 decide as tokens do
+    "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE length(text) / 4.0 > 3000",
+    "p8_found": """
+        WITH sized AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents GROUP BY ALL)
+        SELECT t.source FROM mix_targets t LEFT JOIN sized s ON s.source = lower(trim(t.source))
+        WHERE t.weight_bp / 1e4 * t.total_bp / 1e4 * (SELECT sum(size) FROM sized) > t.max_repeats * coalesce(s.size, 0)""",
 }
