@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.io import table
-from corpusloom.llm import containers, group_top, mixing, quota_sample, token_budget
+from corpusloom.llm import containers, group_top, mixing, quota_sample, shared_spans, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,7 +80,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares)}
+def _spans(spark: SparkSession, sf_dir: str) -> shared_spans.SharedSpans:
+    return shared_spans.SharedSpans(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).pairs()
+
+
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).passages()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
 
 _FILES = """
 WITH state AS (
