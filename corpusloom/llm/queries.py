@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.io import table
-from corpusloom.llm import containers, group_top, mixing, quota_sample, shared_spans, token_budget
+from corpusloom.llm import containers, group_top, mail_layout, mixing, quota_sample, shared_spans, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail_layout.newly_written(table(spark, sf_dir, "message"))
+
+
 def _budget(spark: SparkSession, sf_dir: str) -> token_budget.TokenBudget:
     return token_budget.TokenBudget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evidence"))
 
@@ -92,7 +96,7 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).passages()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
 
 _FILES = """
 WITH state AS (
