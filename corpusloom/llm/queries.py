@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.io import table
-from corpusloom.llm import containers, group_top, mail_layout, mixing, quota_sample, shared_spans, token_budget
+from corpusloom.llm import containers, group_top, mail_layout, mixing, personal_data, quota_sample, shared_spans, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,22 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir).report()
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> personal_data.PersonalData:
+    return personal_data.PersonalData(table(spark, sf_dir, "message"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).entities()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).rewritten()
+
+
+def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).rewritten(placeholders=False)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_top.top_files(table(spark, sf_dir, "scan_rows")).select("owner_email", "drive_file_id")
 
@@ -96,7 +112,7 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).passages()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p5_found, p5_redacted, p5_surrogates, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
 
 _FILES = """
 WITH state AS (
