@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.io import table
-from corpusloom.llm import containers, group_top, mail_layout, mixing, personal_data, quota_sample, shared_spans, token_budget
+from corpusloom.llm import containers, group_top, mail_layout, mixing, personal_data, quota_sample, shared_spans, subjects, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,18 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir).report()
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Subjects:
+    return subjects.Subjects(*(table(spark, sf_dir, name) for name in ("evidence", "classifications", "subject_areas", "subject_labels")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).assigned()
+
+
+def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).composition()
+
+
 def _personal(spark: SparkSession, sf_dir: str) -> personal_data.PersonalData:
     return personal_data.PersonalData(table(spark, sf_dir, "message"))
 
@@ -112,7 +124,7 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).passages()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p5_found, p5_redacted, p5_surrogates, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p4_found, p4_composition, p5_found, p5_redacted, p5_surrogates, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
 
 _FILES = """
 WITH state AS (
