@@ -34,7 +34,7 @@ PAIR_ONE_IN = 100_000
 #: Labelled artifacts that the classifier is fitted on, at most: those with the least hash.
 LABELLED = 200_000
 #: Dimensions of the space, centroids for each subject, rounds of refinement.
-DIMENSIONS, CENTROIDS, ROUNDS = 64, 6, 6
+DIMENSIONS, CENTROIDS, ROUNDS = 96, 6, 6
 #: Least cosine of a mention, greatest ratio of the second subject's, and greatest share of labelled artifacts that may contradict.
 NEAR, RATIO, CONTRADICT = 0.3, 0.6, 0.012
 #: Characters from which a misspelled term is looked for.
@@ -47,7 +47,7 @@ NOT_ABOUT = [
 ]
 _NOT_ABOUT = re.compile(rf"(?:{'|'.join(NOT_ABOUT)})\b[^)\].;…]*")
 _SUFFIX = re.compile(r"\.[A-Za-z0-9]{1,5}\Z")
-_SEGMENT = re.compile(r"[^\w' ]+")
+_SEGMENT = re.compile(r"[^\w ]+")
 
 
 def fold(text: str) -> str:
@@ -55,12 +55,12 @@ def fold(text: str) -> str:
 
 
 def segments(filename: str | None, summary: str | None) -> list[str]:
-    """The folded segments of both texts, without what they say they are not about; words of a filename are one segment."""
+    """The folded segments of both texts, without what they say they are not about; the words of a filename, without numbers and versions, are one segment."""
     out = []
     if filename:
-        out.append(" ".join(re.split(r"[\W_]+", fold(_SUFFIX.sub("", filename)))).strip())
+        out.append(" ".join(w for w in re.split(r"[\W_]+", fold(_SUFFIX.sub("", filename))) if not any(c.isdigit() for c in w)).strip())
     if summary:
-        out += [" ".join(s.split()) for s in _SEGMENT.split(_NOT_ABOUT.sub(".", fold(summary)))]
+        out += [" ".join(s.split()) for s in _SEGMENT.split(_NOT_ABOUT.sub(".", fold(summary)).replace("'", " "))]
     return [s for s in out if s]
 
 
@@ -125,7 +125,7 @@ class Terms:
         return exact, fuzzy
 
 
-def truncated_svd(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def truncated_svd(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """The k greatest eigenpairs of a sparse symmetric positive matrix (a Gram matrix: squared singular values, right vectors)."""
     k = min(k, size)
     order = np.argsort(rows, kind="stable")
@@ -154,6 +154,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def latent_space(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """A unit vector for each term from the weighted Gram matrix.
+
+    The terms' rows are scaled by the roots of their sums first, so that a subject of a rarer language is as strong a dimension
+    as one of the most frequent language.
+    """
+    if not len(rows):
+        return np.zeros((size, 1))
+    sums = np.bincount(rows, weights=values, minlength=size) + 1e-12
+    strength, vectors = truncated_svd(rows, columns, values / np.sqrt(sums[rows] * sums[columns]), size, DIMENSIONS)
+    return _unit(vectors * np.sqrt(strength))
+
+
 def decide(space: np.ndarray, seen: np.ndarray, labelled: list[tuple[list[int], set[int]]], described: list[tuple[list[int], int]], subjects: int) -> np.ndarray:
     """The subject of each term, -1 for none. ``space``: a unit vector for each term; ``seen``: its artifacts."""
     seeds: list[np.ndarray] = []
@@ -232,8 +245,7 @@ class Subjects:
         seen, (rows, columns, counts) = self._counts(len(terms), artifacts)
         size = len(seen)
         weight = np.log(max(artifacts, 1) / np.maximum(seen, 1)) + 1e-3
-        values, vectors = truncated_svd(rows, columns, counts * weight[rows] * weight[columns], size, DIMENSIONS) if len(rows) else (np.zeros(1), np.zeros((size, 1)))
-        space = _unit(vectors * values**0.25 * weight[:, None])[: len(terms)]
+        space = latent_space(rows, columns, counts * weight[rows] * weight[columns], size)[: len(terms)]
         labelled = self._labelled(number)
         described = [([t for s in segments(None, r["description"]) for t in self.terms.find(s)[0]], number[r["subject"]]) for r in named]
         decided = decide(space, seen[: len(terms)], labelled, described, len(self.subjects))
