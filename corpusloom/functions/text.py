@@ -83,8 +83,8 @@ def human_size(size: Column) -> Column:
     """Bytes with a unit; unknown and negative sizes are empty."""
     out = F.when(size.isNull() | (size < 0), F.lit("")).when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B")))
     for i, unit in enumerate(["KB", "MB", "GB"], 1):
-        out = out.when(size < 1024 ** (i + 1), F.concat(F.format_string("%.1f", size / float(1024**i)), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_string("%.1f", size / float(1024**4)), F.lit(" TB")))
+        out = out.when(size < 1024 ** (i + 1), F.concat(F.format_string("%.1f", F.bround(size / float(1024**i), 1)), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(size / float(1024**4), 1)), F.lit(" TB")))
 
 
 def delimited_rows(text: Column, first: int = 5_000_000) -> Column:

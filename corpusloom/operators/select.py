@@ -9,7 +9,7 @@ and least sizes reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -59,17 +59,7 @@ def fill(df: DataFrame, size: str, cap: int, order: Sequence[Column], used: int
             whole.append(r["_range"])
             left, room = left - r["sum"], room - r["n"]
         elif r["least"] <= left and room > 0:
-            limit, places = left, room
-
-            def fold(pdf: pd.DataFrame, limit: int = limit, places: int = places) -> pd.DataFrame:
-                pdf = pdf.sort_values("_at")
-                taken, free, n = [], limit, 0
-                for at, s in zip(pdf["_at"].tolist(), pdf["_size"].tolist()):
-                    if n < places and s <= free:
-                        taken.append(at)
-                        free, n = free - s, n + 1
-                return pd.DataFrame({"_range": pdf["_range"].iloc[0], "_at": taken})
-
+            fold = _folder(left, room)
             one = placed.filter(F.col("_range") == r["_range"]).select("_range", "_at", "_size")
             hits = materialize(one.groupBy("_range").applyInPandas(fold, "_range int, _at int"), "fold")
             spent = one.join(hits, ["_range", "_at"]).agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
@@ -79,6 +69,21 @@ def fill(df: DataFrame, size: str, cap: int, order: Sequence[Column], used: int
     return reduce(DataFrame.unionByName, parts).drop("_range", "_at", "_size")
 
 
+def _folder(left: int, room: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The fold of one range: the places of the rows taken with ``left`` bytes and ``room`` rows to go."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        taken, free = [], left
+        for at, s in zip(pdf["_at"].tolist(), pdf["_size"].tolist()):
+            if len(taken) < room and s <= free:
+                taken.append(at)
+                free -= s
+        return pd.DataFrame({"_range": pdf["_range"].iloc[0], "_at": taken}, columns=["_range", "_at"])
+
+    return fold
+
+
 def greedy_fill(df: DataFrame, size: str, cap: int, tie: Sequence[str]) -> DataFrame:
     """Largest first; of equal sizes those first in ``tie``."""
     return fill(df, size, cap, [F.desc_nulls_last(size), *[F.asc(t) for t in tie]])
