@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from corpusloom import vocab as V
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once for each row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -123,24 +129,29 @@ def secret_kind(text: Column) -> Column:
 
 def content_types(*pieces: Column) -> Column:
     """The labels whose words occur in any of the pieces, else Factual."""
-    blob = F.lower(F.concat_ws("\n", *pieces))
-    found = _labels([(label, _any([blob.contains(n) for n in needles])) for label, needles in V.CONTENT_TYPES.items()])
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Factual")))
+    found = lambda blob: _labels([(label, _any([blob.contains(n) for n in needles])) for label, needles in V.CONTENT_TYPES.items()])
+    return let(let(F.lower(F.concat_ws("\n", *pieces)), found), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("Factual"))))
 
 
 def quality_tier(tokens: Column, words: Column, modality: Column, content: Column, ext: Column, confidence: Column | None = None) -> Column:
     """High, Medium or Low. ``modality`` and ``content`` are arrays of labels."""
-    t, w, e = F.coalesce(tokens, F.lit(0)), F.coalesce(words, F.lit(0)), F.lower(F.coalesce(ext, F.lit("")))
-    only = lambda label: (F.size(modality) > 0) & (F.size(F.array_except(modality, F.array(F.lit(label)))) == 0)
     strong = F.arrays_overlap(content, F.array(*[F.lit(x) for x in V.STRONG_TYPES]))
+    facts = F.struct(
+        F.coalesce(tokens, F.lit(0)).alias("t"), F.coalesce(words, F.lit(0)).alias("w"), modality.alias("m"), strong.alias("strong"), F.lower(F.coalesce(ext, F.lit(""))).alias("e"),
+        (F.lit(False) if confidence is None else F.coalesce(F.lower(F.trim(confidence)) == "low", F.lit(False))).alias("unsure"),
+    )
+    return let(facts, _tier)
+
+
+def _tier(x: Column) -> Column:
+    t, m, e = x["t"], x["m"], x["e"]
+    only = lambda label: (F.size(m) > 0) & (F.size(F.array_except(m, F.array(F.lit(label)))) == 0)
+    grid = F.array_contains(m, "tabular") | e.isin(*V.TABULAR, "json")
     score = F.when(t >= 8000, 2).when(t >= 1500, 1).otherwise(0)
-    score = F.when(strong, F.least(F.lit(2), score + 1)).otherwise(score)
-    grid = F.array_contains(modality, "tabular") | e.isin(*V.TABULAR, "json")
-    score = F.when(grid & ~strong, F.greatest(F.lit(0), score - 1)).otherwise(score)
-    score = F.when(e.isin("html", "htm", "log") & (t < 8000), F.greatest(F.lit(0), score - 1)).otherwise(score)
-    unsure = F.lit(False) if confidence is None else F.coalesce(F.lower(F.trim(confidence)) == "low", F.lit(False))
-    tiny = (t <= 80) & (only("image") | only("audio_video") | (w <= 40))
-    return F.when(tiny | (score == 0), "Low").when((score == 2) & ~unsure, "High").otherwise("Medium")
+    raised = F.when(x["strong"], F.least(F.lit(2), score + 1)).when(grid, F.greatest(F.lit(0), score - 1)).otherwise(score)
+    final = F.when(e.isin("html", "htm", "log") & (t < 8000), F.greatest(F.lit(0), raised - 1)).otherwise(raised)
+    tiny = (t <= 80) & (only("image") | only("audio_video") | (x["w"] <= 40))
+    return let(final, lambda s: F.when(tiny | (s == 0), "Low").when((s == 2) & ~x["unsure"], "High").otherwise("Medium"))
 
 
 def folder_id(raw: Column) -> Column:

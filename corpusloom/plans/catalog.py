@@ -573,8 +573,8 @@ def as_is_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.as_is_fill(binaries(spark, sf_dir), "size_bytes", CAP, "drive_file_id", ["path", "drive_file_id"]).select("drive_file_id")
 
 
-@query(f"""WITH {_BIN}, share AS (SELECT {CAP} // count(DISTINCT account) AS s FROM binaries), per AS (SELECT account, {_fold('binaries', 'size_bytes DESC, drive_file_id', 'size_bytes', 'min(s)', 'drive_file_id')} AS r FROM binaries, share GROUP BY account),
-    got AS (SELECT unnest(r.got) AS drive_file_id FROM per), rest AS (SELECT {_fold('binaries', 'size_bytes DESC, account, drive_file_id', 'size_bytes', 'min(rest_bytes)', 'drive_file_id')} AS r FROM binaries, (SELECT {CAP} - sum(r.used) AS rest_bytes FROM per) WHERE drive_file_id NOT IN (SELECT drive_file_id FROM got))
+@query(f"""WITH {_BIN}, share AS (SELECT {CAP} // count(DISTINCT account) AS s FROM binaries), per AS (SELECT account, {_fold('binaries', 'size_bytes DESC, drive_file_id', 'size_bytes', 's', 'drive_file_id')} AS r FROM binaries, share GROUP BY account, s),
+    got AS (SELECT unnest(r.got) AS drive_file_id FROM per), spent AS (SELECT {CAP} - sum(r.used) AS rest_bytes FROM per), rest AS (SELECT {_fold('binaries', 'size_bytes DESC, account, drive_file_id', 'size_bytes', 'rest_bytes', 'drive_file_id')} AS r FROM binaries, spent WHERE drive_file_id NOT IN (SELECT drive_file_id FROM got) GROUP BY rest_bytes)
     SELECT * FROM got UNION ALL SELECT unnest(r.got) FROM rest""")
 def equal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.equal_split(materialize(binaries(spark, sf_dir), "binaries"), "account", "size_bytes", CAP, ["drive_file_id"]).select("drive_file_id")
