@@ -18,7 +18,7 @@ ATTACHMENT = T.StructType([T.StructField(n, T.LongType() if n == "size_bytes" el
 
 def header(headers: Column, name: str) -> Column:
     """The first value of a header, by name in any case, from an array of (name, value)."""
-    return F.coalesce(F.element_at(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), 1)["value"], F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), F.lit(1))["value"], F.lit(""))
 
 
 @F.pandas_udf(T.DoubleType())
