@@ -36,7 +36,7 @@ def instant_micros(text: Column) -> Column:
 
 def _descending(value: Column) -> Column:
     v = value.cast("long")
-    return F.coalesce(F.greatest(F.least(v, F.lit(CODE_MAX)), F.lit(1 - CODE_MAX)), F.lit(-CODE_MAX))
+    return F.when(v.isNull(), F.lit(-CODE_MAX)).otherwise(F.greatest(F.least(v, F.lit(CODE_MAX)), F.lit(1 - CODE_MAX)))
 
 
 def _ascending_slice(text: Column, k: int) -> Column:
