@@ -124,7 +124,15 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).passages()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p4_found, p4_composition, p5_found, p5_redacted, p5_surrogates, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages)}
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).coverage()
+
+
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).classes()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_token_budget, p3_found, p3_sample, p3_report, p4_found, p4_composition, p5_found, p5_redacted, p5_surrogates, p6_found, p6_top_files, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_passages, p9_coverage, p9_classes)}
 
 _FILES = """
 WITH state AS (

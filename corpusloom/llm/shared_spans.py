@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.io import materialize
@@ -242,7 +242,7 @@ class SharedSpans:
     """
 
     def __init__(self, documents: DataFrame, span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
+        self.span, self.k, self.documents = span, k, documents.select("doc_id", "text")
         usable = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= span))
         self.texts = DistinctTexts(usable)
         self.one = self.texts.one_each().select("doc_id", "text")
@@ -267,18 +267,20 @@ class SharedSpans:
         self.heavy = heavy_keys(shared, ["seed"], "places", total)
         self.places = materialize(salted_join(self.seeds, shared, ["seed"], self.heavy, F.struct("doc_id", "place")), "places")
 
-    def _hot_windows(self) -> DataFrame:
-        """window, doc_id, place: the windows of ``span`` characters around the places of hot seeds that stand in several texts."""
+    def _windows(self, places: DataFrame) -> DataFrame:
+        """window, doc_id, place: the windows of ``span`` characters around some places of seeds that stand in several texts.
+
+        Where a seed is vague, its places aren't complete, and all windows of the text are taken.
+        """
         span, k = self.span, self.k
-        hot = self.places.filter(F.col("places") > HOT).groupBy("doc_id").agg(F.collect_set("place").alias("at"))  # bounded by the text
-        texts = self.one.join(hot, "doc_id").select("doc_id", "text", "at")
+        of = places.groupBy("doc_id").agg(F.collect_set("place").alias("at"), F.max("vague").alias("vague"))  # bounded by the text
+        texts = self.one.join(of, "doc_id").select("doc_id", "text", "at", "vague")
 
         def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                for doc, text, at in zip(*(c.to_pylist() for c in batch.columns)):
-                    points = _code_points(text)
-                    values = window_hashes(points, span)
-                    near = np.zeros(len(values), bool)
+                for doc, text, at, vague in zip(*(c.to_pylist() for c in batch.columns)):
+                    values = window_hashes(_code_points(text), span)
+                    near = np.full(len(values), bool(vague))
                     for p in at:
                         near[max(0, p + k - span) : p + 1] = True
                     place = np.flatnonzero(near)
@@ -289,6 +291,21 @@ class SharedSpans:
         counts = materialize(counts, "windows")
         return salted_join(found, counts, ["window"], heavy_keys(counts, ["window"], "n", found.count()), F.struct("doc_id", "place")).drop("n")
 
+    def coverage(self) -> DataFrame:
+        """doc_id, n_chars, shared_chars, share: how much of each document stands, in passages of ``span`` characters or more, in another one.
+
+        No pairs are made: a character is shared if it lies in a window of ``span`` characters that stands in several texts, and
+        all characters of a text with copies are. Null and short texts share nothing; a null text has no characters.
+        """
+        windows = self._windows(self.places).select("doc_id", "place").distinct()
+        after = F.lead("place").over(Window.partitionBy("doc_id").orderBy("place")) - F.col("place")  # bounded by the text
+        covered = windows.withColumn("n", F.least(F.coalesce(after, F.lit(self.span)), F.lit(self.span))).groupBy(F.col("doc_id").alias("class_id")).agg(F.sum("n").alias("covered"))
+        members = self.classes().join(covered, "class_id", "left").select("doc_id", "copies", "covered")
+        sized = self.documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), (F.length("text") >= self.span).alias("long")).filter(F.col("doc_id").isNotNull()).distinct()
+        shared = F.when(F.coalesce(F.col("long"), F.lit(False)), F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce(F.col("covered"), F.lit(0)))).otherwise(F.lit(0)).cast("long")
+        out = sized.join(members, "doc_id", "left").withColumn("shared_chars", F.least(shared, F.col("n_chars").cast("long")))
+        return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "shared_chars", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)).alias("share"))
+
     def anchors(self) -> DataFrame:
         """doc_a, doc_b, anchors, vague: of each pair of representatives the places that seeds have in common."""
         places = self.places.filter(F.col("places") <= HOT).select("seed", "doc_id", "place", "vague")
@@ -297,7 +314,7 @@ class SharedSpans:
         met = met.select("doc_id_a", "doc_id_b", "place_a", "place_b", (F.col("vague_a") | F.col("vague_b")).alias("vague"))
         if not self.places.filter(F.col("places") > HOT).isEmpty():
             # of neighbouring windows one is enough: the first in the text with the lesser id
-            w = self._hot_windows()
+            w = self._windows(self.places.filter(F.col("places") > HOT))
             a, b = (w.select("window", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "place"))) for x in "ab")
             hot = a.join(b, "window").filter(F.col("doc_id_a") < F.col("doc_id_b")).groupBy("doc_id_a", "doc_id_b").agg(F.min(F.struct("place_a", "place_b")).alias("p"))
             met = met.unionByName(hot.select("doc_id_a", "doc_id_b", "p.place_a", "p.place_b", F.lit(True).alias("vague")))

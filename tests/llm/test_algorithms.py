@@ -221,7 +221,13 @@ def test_shared_spans(spark, monkeypatch, seed, hot):
     s = shared_spans.SharedSpans(df, span=40, k=20)
     got = [tuple(x) for x in s.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == shared(docs, 40)
-    text = dict(docs)
+    text, spots = dict(docs), defaultdict(set)
+    for i, t in docs:
+        for at in range(len(t or "") - 39):
+            spots[t[at : at + 40]].add(i)
+    cover = {i: len({at + k for at in range(len(t or "") - 39) if len(spots[t[at : at + 40]]) > 1 for k in range(40)}) for i, t in docs}
+    assert {r["doc_id"]: (r["n_chars"], r["shared_chars"]) for r in s.coverage().collect()} == {i: (len(t or ""), cover[i]) for i, t in docs}
+    assert {r["doc_id"]: r["copies"] for r in s.classes().collect()}[docs[0][0]] >= 3
     for p in s.passages().collect():
         assert p["longest"] >= 40 and p["end_a"] - p["begin_a"] >= p["longest"] and p["end_b"] <= len(text[p["doc_id_b"]])
     assert shared_spans.SharedSpans(df.limit(0), span=40, k=20).pairs().count() == 0
