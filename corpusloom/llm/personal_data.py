@@ -30,6 +30,8 @@ from corpusloom.operators.skew import heavy_keys, salted_join
 NAMES = 50_000
 #: Words that a beginning or an ending of names is shared by at least, to count as one.
 SHARED = 4
+#: Words that a task remembers at a time.
+REMEMBERED = 200_000
 #: Words of streets.
 STREETS = r"(?:St\.?|Street|Ave\.?|Avenue|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Blvd\.?|Boulevard|Court|Ct\.?|Way|Close|Terrace|Square|Sq\.?)"
 
@@ -89,7 +91,18 @@ class NameModel:
             self.ends.append({b for _, b in split.values()})
 
     def kind(self, word: str) -> int | None:
-        """0 a given name, 1 a family name, else None."""
+        """0 a given name, 1 a family name, else None. Answers are remembered, as words recur."""
+        known = self.__dict__.setdefault("_known", {})
+        if word not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[word] = self._kind(word)
+        return known[word]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+    def _kind(self, word: str) -> int | None:
         w = fold(word)
         for k in (0, 1):
             if w in self.words[k]:
@@ -307,11 +320,11 @@ class PersonalData:
             if again.isEmpty():
                 break
             state = state.drop("drawn").join(again, ["pii_type", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
-        total = self.found.count()
-        keys = state.select("pii_type", "entity", "attempt")
-        heavy = heavy_keys(state, ["pii_type", "entity"], "n", total)
-        met = salted_join(self.found, keys, ["pii_type", "entity"], heavy, F.struct("message_id", "begin"))
-        return _with_surrogate(met, "pii_text", "surrogate", model, secret)
+        # each way of writing an entity is replaced once, then met by the pieces
+        forms = self.found.groupBy("pii_type", "entity", "pii_text").agg(F.count(F.lit(1)).alias("n")).join(state.select("pii_type", "entity", "attempt"), ["pii_type", "entity"])
+        forms = materialize(_with_surrogate(forms, "pii_text", "surrogate", model, secret), "forms")
+        heavy = heavy_keys(forms, ["pii_type", "pii_text"], "n", self.found.count())
+        return salted_join(self.found, forms.select("pii_type", "pii_text", "surrogate"), ["pii_type", "pii_text"], heavy, F.struct("message_id", "begin"))
 
     def entities(self) -> DataFrame:
         """message_id, pii_type, pii_text: every distinct piece that is replaced."""
