@@ -2,9 +2,10 @@
 
 A body is a sequence of blocks::
 
-    body      := (text | quote | signature | notice | footer | postscript)* tail?
+    body      := (text | quote | pasted | signature | notice | footer | postscript)* tail?
     quote     := introduction? body      every line behind a mark: > | » or an indent
     tail      := introduction body       not marked: reaches to the end
+    pasted    := salutation text         a second letter, without any mark
     signature := closing? name-block     up to the next other block
     notice    := a legal notice          up to an empty line
     footer    := rule? list-footer
@@ -36,6 +37,11 @@ CLOSINGS = [
     "Amicalement", "Bien cordialement", "Bien à vous", "Bonne journée", "Cordialement", "Merci", "Salutations",
     "Beste Grüße", "Danke", "Freundliche Grüße", "Herzliche Grüße", "Liebe Grüße", "MfG", "Mit besten Grüßen", "Mit freundlichen Grüßen", "Schöne Grüße", "Vielen Dank", "Viele Grüße",
 ]
+#: How a letter greets.
+SALUTATIONS = [
+    "Hi", "Hello", "Hey", "Dear", "Good morning", "Good afternoon", "Good evening", "Hola", "Buenos días", "Buenas tardes", "Estimado", "Estimada", "Estimados", "Querido", "Querida",
+    "Bonjour", "Bonsoir", "Salut", "Cher", "Chère", "Chers", "Hallo", "Guten Tag", "Guten Morgen", "Liebe", "Lieber", "Sehr geehrte", "Sehr geehrter",
+]
 #: Lines that devices add.
 DEVICES = [
     r"Sent (?:from|with|via) (?:my|a|an) [\w ]{3,30}(?:, please excuse (?:typos|brevity|any typos))?\.?", r"Get Outlook for \w+",
@@ -88,6 +94,7 @@ _DELIMITER = re.compile(r"\s*(?:--|—)\s*\Z")
 _LOGO = re.compile(r"\s*\[(?:image|cid|logo)[^\]]*\]\s*\Z", re.I)
 _CLOSING = "|".join(re.escape(c) for c in sorted(CLOSINGS, key=len, reverse=True))
 _CLOSING_LINE = re.compile(rf"\s*(?:{_CLOSING}) ?[,.!]?\s*\Z")
+_SALUTATION = re.compile(rf"\s*(?:{'|'.join(SALUTATIONS)})(?:,? \w[\w.'’-]*){{1,5}} ?[,:]?\s*\Z")
 _DEVICE = "|".join(DEVICES)
 _DEVICE_LINE = re.compile(rf"\s*(?:{_DEVICE})\s*\Z")
 _NOTICE = re.compile(rf"\s*(?:{'|'.join(NOTICES)})")
@@ -245,9 +252,11 @@ def parse(lines: list[str], names: list[str], depth: int = 0) -> list[Node]:
             add("rule", i, i + 1)
             i += 1
             continue
-        elif kind == "text" and (_CLOSING_LINE.match(line) or _DELIMITER.match(line) or _DEVICE_LINE.match(line) or _LOGO.match(line) or _name_line(line, names)):
+        elif kind == "text" and _SALUTATION.match(line) and out and out[-1].kind == "blank" and any(b.kind == "text" for b in out) and not any(b.kind == "quote" for b in out):
+            kind = "pasted"  # a second letter begins
+        elif kind in ("text", "pasted") and (_CLOSING_LINE.match(line) or _DELIMITER.match(line) or _DEVICE_LINE.match(line) or _LOGO.match(line) or _name_line(line, names)):
             kind = "signature"
-        elif kind == "text" and i + 1 < n and names and _name_line(f"{line.strip()} {lines[i + 1].strip()}", names) and re.search(r" [·|•] ", line):
+        elif kind in ("text", "pasted") and i + 1 < n and names and _name_line(f"{line.strip()} {lines[i + 1].strip()}", names) and re.search(r" [·|•] ", line):
             kind = "signature"
         add(kind, i, i + 1)
         i += 1

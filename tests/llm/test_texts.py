@@ -27,6 +27,7 @@ def new(body, sender="Ann Lee <ann.lee@x.io>"):
         ("Top\n____________\nFrom: Bob\nSent: Mon\n\nold", ["Top"]),
         ("Bob Roe writes:\n| quoted line that is rather long and goes on and on until\nhere\n| end\n\nMy answer\n\n| more\n\nThanks,\nAnn", ["My answer"]),
         ("Fine.\n\n*****\nThis e-mail and its files may hold privileged content of X.", ["Fine."]),
+        ("Hi Bob,\n\nFine.\n\nDear Ann,\n\nOld words.\n\nBest,\nAnn", ["Hi Bob, Fine."]),
         ("Fine.\n\nAnn Lee · Boss · X · +1 555", ["Fine."]),
         ("Fine.\n\nSent from my phone", ["Fine."]),
         ("Fine. Thanks, Ann Lee Boss X Tel. 1 On Wed, Jan 3, 2024 at 01:00 PM Bob Roe wrote: Hi Ann", ["Fine."]),
