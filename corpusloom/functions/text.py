@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -25,6 +26,32 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.StringType())
+def json_pretty(text: pd.Series) -> pd.Series:
+    """Indented JSON; text that isn't JSON stays as it is."""
+
+    def one(t: str) -> str:
+        try:
+            return json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+        except ValueError:
+            return t
+
+    return text.map(one, na_action="ignore")
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path without steps upwards, drive letters or a leading slash."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    return F.array_join(F.filter(parts, lambda p: ~p.isin("", ".", "..") & ~p.rlike("^[A-Za-z]:$")), "/")
+
+
+def numbered_name(name: Column, place: Column) -> Column:
+    """A name met before in a folder gets its place in brackets before the suffix; place 0 keeps it."""
+    suffix = F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
+    return F.when(place <= 0, name).otherwise(F.concat(stem, F.lit(" ("), place.cast("string"), F.lit(")"), suffix))
+
+
 def normalized(text: Column) -> Column:
     """Pictographs become blanks, compatibility forms are composed, words broken at a line end are joined, invisible characters go."""
     t = compatible(F.regexp_replace(text, EMOJI, " "))

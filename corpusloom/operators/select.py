@@ -97,6 +97,14 @@ def as_is_fill(df: DataFrame, size: str, cap: int | None, identifier: str, order
     return taken if done is None else taken.join(done.select(identifier), identifier, "left_anti")
 
 
+def all_files(scan: DataFrame, default_owner: str = "") -> DataFrame:
+    """Every listed file that is no folder, shortcut or row without an id, natives without a size included; blank owners get the default."""
+    kept = scan.filter(~F.coalesce("is_folder", F.lit(False)) & ~F.coalesce("is_shortcut", F.lit(False)) & (F.coalesce("drive_file_id", F.lit("")) != ""))
+    owner = F.when(F.coalesce("owner_email", F.lit("")) == "", default_owner).otherwise(F.col("owner_email"))
+    size = F.coalesce(F.col("size_bytes").cast("string").try_cast("bigint"), F.lit(0))
+    return kept.select("drive_file_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("path", F.lit("")).alias("path"), owner.alias("owner_email"), size.alias("size_bytes"), F.coalesce("modified_time", F.lit("")).alias("modified_time"))
+
+
 def first_threads(threads: DataFrame, most: int, cap: int, order: Sequence[str], size: str = "size_bytes") -> DataFrame:
     return fill(threads, size, cap, [F.asc(o) for o in order], most=most)
 

@@ -15,6 +15,7 @@ from corpusloom.io import materialize, table
 from corpusloom.operators import merge, recency, rollup, select
 from corpusloom.plans import pipeline
 from corpusloom.sinks.workbook import display
+from corpusloom.streaming import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -601,3 +602,29 @@ def enough_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BIN} SELECT account, sum(size_bytes)::BIGINT AS bytes, count(*) AS items FROM binaries GROUP BY account")
 def account_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binaries(spark, sf_dir).groupBy("account").agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("items"))
+
+
+@query("SELECT drive_file_id, name, path, CASE WHEN coalesce(owner_email, '') = '' THEN 'nobody' ELSE owner_email END AS owner_email, coalesce(size_bytes, 0) AS size_bytes, coalesce(modified_time, '') AS modified_time FROM scan_rows WHERE NOT coalesce(is_folder, false) AND NOT coalesce(is_shortcut, false) AND coalesce(drive_file_id, '') <> ''")
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.all_files(table(spark, sf_dir, "scan_rows"), "nobody")
+
+
+@query("SELECT drive_file_id, path, listed_at, array_to_string(list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.', '..') AND NOT regexp_matches(p, '^[A-Za-z]:$')), '/') AS safe FROM scan_rows")
+def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scan_rows").select("drive_file_id", "path", "listed_at", text.safe_path(F.col("path")).alias("safe"))
+
+
+_NUM = "row_number() OVER (PARTITION BY lower(name) ORDER BY drive_file_id) - 1"
+
+
+@query(f"WITH {_FILES}, n AS (SELECT drive_file_id, name, {_NUM} AS k, regexp_extract(name, '.(\\.[^.]+)$', 1) AS suffix FROM files WHERE name IS NOT NULL) SELECT drive_file_id, CASE WHEN k = 0 THEN name ELSE concat(substr(name, 1, length(name) - length(suffix)), ' (', k, ')', suffix) END AS name FROM n")
+def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are equal in any case are numbered in order of their ids."""
+    named = files(spark, sf_dir).filter(F.col("name").isNotNull()).select("drive_file_id", "name", F.lower("name").alias("key"))
+    return select.place_in_groups(named, ["key"], [F.asc("drive_file_id")], "k").select("drive_file_id", text.numbered_name(F.col("name"), F.col("k")).alias("name"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ours, not the inventory's: the windowed counts of the streaming module, over a table."""
+    return rounds.running_counts(table(spark, sf_dir, "events"), "ts", "event_type")

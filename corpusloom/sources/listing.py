@@ -1,7 +1,7 @@
 """Listings of cloud drives and mailboxes through clients; the client shipped here replays pages that were stored as JSON.
 
-A client has ``children(folder)`` (rows of a folder, paged by itself), ``accounts()``, ``message_ids(account, query)`` and
-``message(account, id)``. The option ``client`` of the data sources names its class as ``module:Class``; the option ``root`` is
+A client has ``accounts()``, ``children(account, folder)`` (rows of a folder, paged by itself), ``body(account, file)``,
+``message_ids(account, query)`` and ``message(account, id)``. The option ``client`` of the data sources names its class as ``module:Class``; the option ``root`` is
 given to it. Clients that need a network or credentials are for the user to supply.
 """
 
@@ -12,6 +12,7 @@ import json
 import os
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -54,6 +55,11 @@ class StoredPages:
             return json.load(f)
 
 
+    def body(self, account: str, file: str) -> bytes:
+        with open(os.path.join(self.root, account, "bodies", file), "rb") as f:
+            return f.read()
+
+
 def client_of(options: dict) -> object:
     module, _, name = options.get("client", f"{__name__}:StoredPages").partition(":")
     return getattr(importlib.import_module(module), name)(options["root"])
@@ -173,6 +179,26 @@ def scan_drives(spark: SparkSession, root: str, limit: int | None = None, cutoff
     return numbered if limit is None else numbered.filter(F.col("row_number") < limit)
 
 
+def with_bodies(files: DataFrame, root: str, most: int = 8192, client: str = f"{__name__}:StoredPages", file: str = "drive_file_id") -> DataFrame:
+    """``files`` (with account) with the first ``most`` bytes of each body as content, and an error where there is none."""
+    columns = files.columns
+
+    def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service = client_of({"client": client, "root": root})
+        for batch in it:
+            contents, errors = [], []
+            for account, name in zip(batch.column(columns.index("account")).to_pylist(), batch.column(columns.index(file)).to_pylist()):
+                try:
+                    contents.append(service.body(account, name)[:most])
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    contents.append(None)
+                    errors.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], [*columns, "content", "error"])
+
+    return files.mapInArrow(fetch, f"{', '.join(f'{n} {t}' for n, t in files.dtypes)}, content binary, error string")
+
+
 def fetch_mail(spark: SparkSession, root: str, **options: str) -> DataFrame:
     """Messages in the schema of the table ``message``."""
     spark.dataSource.register(MailMessages)

@@ -44,6 +44,9 @@ def test_sizes(spark):
 def test_cuts(spark):
     assert one(spark, text.truncated(F.lit("abcdef"), 3)) == "abc…"
     assert one(spark, text.delimited_rows(F.lit("a,b\r\nc\n"))) == 2
+    assert one(spark, text.json_pretty(F.lit('{"a":[1]}'))) == '{\n  "a": [\n    1\n  ]\n}' and one(spark, text.json_pretty(F.lit("no"))) == "no"
+    assert one(spark, text.safe_path(F.lit("C:\\x/../y//z"))) == "x/y/z"
+    assert one(spark, text.numbered_name(F.lit("a.b.txt"), F.lit(2))) == "a.b (2).txt"
     assert one(spark, text.scrubbed(F.lit("a\x00b\tc"))) == "ab\tc"
 
 

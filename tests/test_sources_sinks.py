@@ -77,6 +77,8 @@ def pages(tmp_path):
 
     put("u@x.io/root.json", [{"id": "f1", "name": "Zeta", "mimeType": listing.FOLDER}, {"id": "a", "name": "a.txt", "size": "5", "modifiedTime": "2024-01-01T00:00:00Z", "owners": [{"emailAddress": "u@x.io"}]}])
     put("u@x.io/f1.json", [{"id": "b", "name": "b.txt", "size": "7", "modifiedTime": "2020-01-01T00:00:00Z"}, {"id": "s", "name": "s", "mimeType": listing.SHORTCUT, "shortcutDetails": {"targetId": "a"}}])
+    os.makedirs(tmp_path / "pages/u@x.io/bodies")
+    (tmp_path / "pages/u@x.io/bodies/a").write_bytes(b"0123456789")
     put("v@x.io/root.json", [{"id": "c", "name": "c.bin", "size": "x"}])
     body = base64.urlsafe_b64encode(b"hello").decode()
     put("u@x.io/mail/m1.json", {"id": "m1", "threadId": "t", "labelIds": ["A", "B"], "sizeEstimate": 9, "payload": {"mimeType": "text/plain", "headers": [{"name": "SUBJECT", "value": "s"}, {"name": "From", "value": "w"}], "body": {"data": body}}})
@@ -87,6 +89,8 @@ def test_listings(spark, pages, tmp_path):
     rows = listing.scan_drives(spark, pages).orderBy("row_number").collect()
     assert [(r["account"], r["path"], r["size_bytes"]) for r in rows] == [("u@x.io", "Zeta", None), ("u@x.io", "Zeta/b.txt", 7), ("u@x.io", "Zeta/s", None), ("u@x.io", "a.txt", 5), ("v@x.io", "c.bin", None)]
     assert listing.scan_drives(spark, pages, cutoff="2022-01-01T00:00:00Z").filter("drive_file_id = 'a'").isEmpty()
+    bodies = {r["drive_file_id"]: (r["content"], r["error"]) for r in listing.with_bodies(listing.scan_drives(spark, pages), pages, most=4).collect()}
+    assert bodies["a"] == (b"0123", None) and bodies["b"][1] == "FileNotFoundError"
     m = listing.fetch_mail(spark, pages).first()
     assert (m["subject"], m["sender"], m["body_text"], m["labels"]) == ("s", "w", "hello", "A, B")
 
