@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.io import materialize
+from corpusloom.operators.skew import heavy_keys, salted_join
 
 #: Phrases that close a letter.
 CLOSINGS = [
@@ -391,8 +392,10 @@ def newly_written(messages: DataFrame) -> DataFrame:
     read = messages.filter(F.col("message_id").isNotNull()).select("message_id", "thread_id", "sender", "body_text")
     rows = materialize(read.mapInArrow(batches, schema), "layout")
     whole = rows.filter("kind = 1 AND thread_id IS NOT NULL").groupBy("thread_id", "key").agg(F.min("message_id").alias("one"), F.max("message_id").alias("other"))
-    rest = rows.filter("kind = 2 AND thread_id IS NOT NULL").select("message_id", "thread_id", "key", "first_word", "last_word")
-    met = rest.join(whole, ["thread_id", "key"]).filter((F.col("one") != F.col("message_id")) | (F.col("other") != F.col("message_id")))
+    rest = rows.filter("kind = 2 AND thread_id IS NOT NULL").select("message_id", "thread_id", "key", "first_word", "last_word").distinct()
+    sizes = materialize(rest.groupBy("thread_id", "key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    heavy = heavy_keys(sizes, ["thread_id", "key"], "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = salted_join(rest, whole, ["thread_id", "key"], heavy, F.col("message_id")).filter((F.col("one") != F.col("message_id")) | (F.col("other") != F.col("message_id")))
     pasted = met.groupBy("message_id", "last_word").agg(F.min("first_word").alias("from_word"))
     runs = rows.filter("kind = 0").select("message_id", "first_word", "last_word").distinct()
     last = F.coalesce(F.col("from_word") - 1, F.col("last_word")).cast("int")

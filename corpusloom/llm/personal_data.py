@@ -349,7 +349,9 @@ class PersonalData:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string()), pa.array(["Yes" if p else "No" for p in all_pieces])], ["message_id", "body_text", "pii_flag"])
 
         bodies = self.messages.select("message_id", "body_text", F.xxhash64("body_text").alias("body_key"))
-        return bodies.join(pieces, "body_key", "left").select("message_id", "body_text", "pieces").mapInArrow(batches, "message_id string, body_text string, pii_flag string")
+        sizes = materialize(bodies.groupBy("body_key").agg(F.count(F.lit(1)).alias("n")), "bodies")
+        heavy = heavy_keys(sizes, ["body_key"], "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # copies, empty bodies
+        return salted_join(bodies, pieces, ["body_key"], heavy, F.col("message_id"), "left").select("message_id", "body_text", "pieces").mapInArrow(batches, "message_id string, body_text string, pii_flag string")
 
 
 def _with_surrogate(df: DataFrame, text: str, out: str, model: NameModel, secret: str) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.io import materialize
 from corpusloom.llm.distinct_texts import KEY, DistinctTexts
 from corpusloom.llm.tokens import VOCABULARY, with_token_count
-from corpusloom.operators.skew import salted_join
+from corpusloom.operators.skew import heavy_keys, salted_join
 
 
 def canonical(name: Column) -> Column:
@@ -39,11 +40,13 @@ class TokenBudget:
         counted = with_token_count(self.texts.one_each().select(*KEY, "text"), "text", "tokens", vocabulary)
         self.tokens = counted.groupBy(*KEY).agg(F.max("tokens").alias("tokens"))
         self.evidence = evidence
+        per_artifact = materialize(self.keyed.filter(F.col("artifact_id").isNotNull()).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")), "artifacts")
+        self.heavy_artifacts = heavy_keys(per_artifact, ["artifact_id"], "n", self.texts.total)
 
     def misjudged(self) -> DataFrame:
         """doc_id of documents with a recorded count below half or above twice their tokens."""
         recorded = self.evidence.filter(F.col("token_count").isNotNull() & F.col("artifact_id").isNotNull()).groupBy("artifact_id").agg(F.min("token_count").alias("low"), F.max("token_count").alias("high"))
-        documents = self.keyed.select("doc_id", "artifact_id", *KEY).join(recorded, "artifact_id")
+        documents = salted_join(self.keyed.select("doc_id", "artifact_id", *KEY), recorded, ["artifact_id"], self.heavy_artifacts, F.col("doc_id"))
         counted = salted_join(documents, self.tokens, KEY, self.texts.heavy, F.col("doc_id"))
         return counted.filter((F.col("low") * 2 < F.col("tokens")) | (F.col("high") > F.col("tokens") * 2)).select("doc_id").distinct()
 
@@ -51,12 +54,10 @@ class TokenBudget:
         """source, language, domain, documents, tokens."""
         filled = lambda c: F.max(F.when(F.trim(c) != "", F.trim(c)))
         known = self.evidence.filter(F.col("artifact_id").isNotNull()).groupBy("artifact_id").agg(filled("source_guess").alias("source_guess"), filled("owner_email").alias("evidence_owner"))
-        with_artifact = self.keyed.filter(F.col("artifact_id").isNotNull()).join(known, "artifact_id", "left")
-        without = self.keyed.filter(F.col("artifact_id").isNull()).withColumns({"source_guess": F.lit(None).cast("string"), "evidence_owner": F.lit(None).cast("string")})
+        described = salted_join(self.keyed, known, ["artifact_id"], self.heavy_artifacts, F.col("doc_id"), "left")
         owner = F.coalesce(F.when(F.trim("owner_email") != "", F.col("owner_email")), F.col("evidence_owner"))
         slices = (
-            with_artifact.unionByName(without)
-            .groupBy(*KEY, canonical(F.col("source_guess")).alias("source"), F.coalesce(F.lower(F.trim("lang")), F.lit("(none)")).alias("language"), mail_domain(owner).alias("domain"))
+            described.groupBy(*KEY, canonical(F.col("source_guess")).alias("source"), F.coalesce(F.lower(F.trim("lang")), F.lit("(none)")).alias("language"), mail_domain(owner).alias("domain"))
             .agg(F.count(F.lit(1)).alias("times"))
         )
         counted = salted_join(slices, self.tokens, KEY, self.texts.heavy, F.struct("source", "language", "domain"))
