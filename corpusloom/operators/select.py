@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.io import materialize
+from corpusloom.operators.skew import heavy_keys, salted_join
 
 #: Rows in one range, about: what one task folds.
 RANGE_ROWS = 500_000
@@ -42,8 +43,9 @@ def global_index(df: DataFrame, order: Sequence[Column], name: str, rows: int =
 def place_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, rows: int = RANGE_ROWS) -> DataFrame:
     """The place (from 0) of each row in its group, from its place among all: a hot group is spread over many ranges."""
     indexed = materialize(global_index(df, [*[F.asc(g) for g in group], *order], "_index", rows), "indexed")
-    first = indexed.groupBy(*group).agg(F.min("_index").alias("_first"))
-    return indexed.join(first, list(group)).withColumn(name, F.col("_index") - F.col("_first")).drop("_index", "_first")
+    first = materialize(indexed.groupBy(*group).agg(F.min("_index").alias("_first"), F.count(F.lit(1)).alias("_n")), "groups")
+    heavy = heavy_keys(first, group, "_n", first.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    return salted_join(indexed, first.drop("_n"), group, heavy, F.col("_index")).withColumn(name, F.col("_index") - F.col("_first")).drop("_index", "_first")
 
 
 def fill(df: DataFrame, size: str, cap: int, order: Sequence[Column], used: int = 0, most: int | None = None, rows: int = RANGE_ROWS) -> DataFrame:
@@ -178,11 +180,12 @@ def round_robin(df: DataFrame, account: str, size: str, cap: int, order: Sequenc
         n = fits.count()
         if not n or left <= 0:
             break
-        turn = F.row_number().over(Window.partitionBy(account).orderBy(*order)) + (F.col("priority") < start).cast("int")
-        turns = fits.withColumn("_turn", turn)
+        later = (F.col("priority") < start).cast("int") + 1
         if n <= rows:
+            turns = fits.withColumn("_turn", F.row_number().over(Window.partitionBy(account).orderBy(*order)) - 1 + later)
             parts.append(_finish(turns, left).select(*columns))
             break
+        turns = place_in_groups(fits, [account], order, "_place", rows).withColumn("_turn", F.col("_place") + later).drop("_place")
         summed, broken = _until_full(turns, [F.asc("_turn"), F.asc("priority")], left, rows)
         if broken is None:
             parts.append(summed.select(*columns))
@@ -222,6 +225,23 @@ def _finish(turns: DataFrame, left: int) -> DataFrame:
     return wide.groupBy("_one").applyInPandas(take, wide.schema)
 
 
+def _finish_first(fits: DataFrame, order: str, identifier: str, left: int, first: int, start: int, given: int) -> DataFrame:
+    """The first phase over a bounded number of rows, in one task: up to ``first`` of each priority (of ``start``, ``given`` are taken)."""
+    wide = fits.withColumn("_one", F.lit(1))
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["priority", order, identifier]).reset_index(drop=True)
+        keep, free, taken = [], left, {start: given}
+        for i, (p, s) in enumerate(zip(pdf["priority"].tolist(), pdf["_size"].tolist())):
+            if free > 0 and taken.get(p, 0) < first and s <= free:
+                keep.append(i)
+                free -= s
+                taken[p] = taken.get(p, 0) + 1
+        return pdf.loc[keep]
+
+    return wide.groupBy("_one").applyInPandas(take, wide.schema)
+
+
 def binary_by_account(df: DataFrame, account: str, size: str, identifier: str, cap: int, rows: int = RANGE_ROWS) -> DataFrame:
     """First the smallest file of each account, if it is within an equal share and fits, then turns, largest files first."""
     accounts = materialize(_accounts(df, account, size).select(account, "priority"), "accounts")
@@ -246,8 +266,13 @@ def two_phase(df: DataFrame, folder: str, size: str, order: str, identifier: str
     open_ = materialize(_open(df, folder, size, names), "open") if first > 0 else None
     while open_ is not None and left > 0:
         fits = open_.filter((F.col("_size") <= left) & (F.col("priority") >= start))
-        place = F.row_number().over(Window.partitionBy(folder).orderBy(order, identifier))
-        turns = fits.withColumn("_turn", place).filter(F.col("_turn") <= F.lit(first) - F.when(F.col("priority") == start, given).otherwise(0))
+        if fits.count() <= rows:
+            some = materialize(_finish_first(fits, order, identifier, left, first, start, given), "finish")
+            parts.append(some.select(*columns))
+            left -= some.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+            break
+        placed = place_in_groups(fits, [folder], [F.asc(order), F.asc(identifier)], "_place", rows)
+        turns = placed.withColumn("_turn", F.col("_place") + 1).drop("_place").filter(F.col("_turn") <= F.lit(first) - F.when(F.col("priority") == start, given).otherwise(0))
         summed, broken = _until_full(turns, [F.asc("priority"), F.asc("_turn")], left, rows)
         if broken is None:
             parts.append(summed.select(*columns))
