@@ -157,6 +157,10 @@ plan AS (
   SELECT plan_id, bucket_number, coalesce(n, 0) AS eligible, greatest(target_bp::BIGINT * (sample_bp::BIGINT * (SELECT count(*) FROM eligible) // 10000) // 10000, min_rows) AS need
   FROM sample_targets LEFT JOIN had USING (bucket_number))
 """
+_WINDOWS = """
+WITH windows AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+shared AS (SELECT w.* FROM windows w JOIN (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h))
+"""
 ORACLE: dict[str, str] = {
     # no recorded count lies near the bounds, so characters / 4 decide as tokens do
     "p2_found": """
@@ -171,4 +175,11 @@ ORACLE: dict[str, str] = {
         WITH sized AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents GROUP BY ALL)
         SELECT t.source FROM mix_targets t LEFT JOIN sized s ON s.source = lower(trim(t.source))
         WHERE t.weight_bp / 1e4 * t.total_bp / 1e4 * (SELECT sum(size) FROM sized) > t.max_repeats * coalesce(s.size, 0)""",
+    # all windows of 200 characters, by digest
+    "p9_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shared a JOIN shared b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_coverage": _WINDOWS + """,
+        spots AS (SELECT doc_id, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) AS n FROM (SELECT DISTINCT doc_id, i FROM shared)),
+        covered AS (SELECT doc_id, sum(n)::BIGINT AS n FROM spots GROUP BY doc_id)
+        SELECT d.doc_id, length(d.text) AS n_chars, coalesce(c.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN round(coalesce(c.n, 0) / length(d.text), 6) ELSE 0.0 END AS share FROM documents d LEFT JOIN covered c USING (doc_id)""",
+    "p9_classes": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 200",
 }
