@@ -128,3 +128,26 @@ def summary(filename: Column, path: Column, ext: Column, text: Column, folded_pa
         ))
     )
     return out
+
+
+#: Lines that only greet, and how lines of a letter's head begin.
+GREETING = r"(?i)^\s*(?:dear\s+(?:sir|madam|sir/madam|madame|monsieur|madam/sir)|to\s+whom\s+it\s+may\s+concern|hello|hi|hey|bonjour|bonsoir|salut|madam|sir)\b[,:]?\s*$"
+LETTER_HEAD = r"(?i)^\s*(?:dear\s+|subject\s*:?|re\s*:?|date\s*:?|from\s*:?|to\s*:?|cc\s*:?)"
+
+
+def title_like(line: Column) -> Column:
+    """Short, without letters, or mostly capitals."""
+    letters = F.regexp_replace(line, r"[^\p{L}]", "")
+    capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
+    return (F.length(line) < 12) | (F.length(letters) == 0) | ((capitals / F.greatest(F.length(letters), F.lit(1)) > 0.85) & (F.size(F.split(line, r"\s+")) <= 14))
+
+
+def telling_line(text: Column) -> Column:
+    """The first of 40 lines that says something: no title, greeting, letter head or address; null without one."""
+    lines = F.slice(F.filter(F.transform(F.split(F.regexp_replace(text, "\r", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 40)
+    said = F.filter(lines, lambda x: ~title_like(x) & ~x.rlike(GREETING) & ~(x.rlike(LETTER_HEAD) & (F.length(x) < 80)) & ~F.lower(x).rlike("^https?://") & (F.length(x) >= 18))
+    return F.try_element_at(said, F.lit(1))
+
+
+def best_line(text: Column) -> Column:
+    return compact(telling_line(text), 160)

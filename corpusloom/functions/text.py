@@ -53,8 +53,12 @@ def numbered_name(name: Column, place: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """Pictographs become blanks, compatibility forms are composed, words broken at a line end are joined, invisible characters go."""
-    t = compatible(F.regexp_replace(text, EMOJI, " "))
+    """Pictographs become blanks, compatibility forms are composed, words broken at a line end are joined, invisible characters go.
+
+    Plain ASCII texts, which none of this but the joining concerns, reach the Arrow function as nulls.
+    """
+    special = F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(text, EMOJI, " "))
+    t = F.coalesce(compatible(special), text)
     t = F.regexp_replace(t, "\\x{FE0F}", "")
     t = F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(t, r"([a-z])\n([a-z])", "$1$2")

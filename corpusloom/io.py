@@ -21,6 +21,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application stored. Results that still read them must have been consumed or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -29,6 +39,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import classify as C
 from corpusloom import vocab as V
 from corpusloom.functions import html, mail, signals, text
-from corpusloom.functions.summary import FILE_KINDS, MONTH, PATH_TOPICS, TEXT_TOPICS, fold_text, folded, summary
+from corpusloom.functions.summary import FILE_KINDS, GREETING, LETTER_HEAD, MONTH, PATH_TOPICS, TEXT_TOPICS, fold_text, folded, summary, telling_line
 from corpusloom.io import materialize, table
 from corpusloom.operators import merge, recency, rollup, select
 from corpusloom.plans import pipeline
@@ -628,3 +628,13 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ours, not the inventory's: the windowed counts of the streaming module, over a table."""
     return rounds.running_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:40] AS lines FROM documents),
+    s AS (SELECT doc_id, list_filter(lines, lambda x: NOT (length(x) < 12 OR length(regexp_replace(x, '[^\\pL]', '', 'g')) = 0
+      OR (length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(regexp_replace(x, '[^\\pL]', '', 'g')), 1) > 0.85 AND len(regexp_split_to_array(x, '\\s+')) <= 14))
+      AND NOT regexp_matches(x, {_q(GREETING)}) AND NOT (regexp_matches(x, {_q(LETTER_HEAD)}) AND length(x) < 80) AND NOT regexp_matches(lower(x), '^https?://') AND length(x) >= 18)[1] AS line FROM l)
+    SELECT doc_id, line FROM s""")
+def best_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", telling_line(F.col("text")).alias("line"))
