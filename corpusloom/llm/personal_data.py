@@ -58,6 +58,8 @@ _ADDRESS = re.compile(
     rf"|(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino)(?: (?:de|del|de la))? {_UP}(?: {_UP})?,? \d+(?:, \d+º(?: ?[A-Z])?)?, \d{{5}} {_TOWN}"
     rf"|(?:{_UP}(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer)|(?:Am|An der|Im|Auf dem|Zum|Zur) {_UP}) \d+ ?[a-z]?, \d{{5}} {_TOWN})"
 )
+_DIGIT = re.compile(r"\d")
+_MAIL_SIGN = re.compile(r"@|[\[({<] ?(?:at|AT|arroba) ?[\])}>]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 TYPES = ("email", "id_number", "phone", "address", "name")
 
@@ -91,7 +93,9 @@ class NameModel:
             self.ends.append({b for _, b in split.values()})
 
     def kind(self, word: str) -> int | None:
-        """0 a given name, 1 a family name, else None. Answers are remembered, as words recur."""
+        """0 a given name, 1 a family name, else None, as for words of up to two letters. Answers are remembered, as words recur."""
+        if len(word) < 3:
+            return None
         known = self.__dict__.setdefault("_known", {})
         if word not in known:
             if len(known) >= REMEMBERED:
@@ -150,39 +154,33 @@ def find(body: str, model: NameModel) -> list[tuple[int, int, str]]:
     def free(b: int, e: int) -> bool:
         return all(e <= x or y <= b for x, y, _ in here)
 
-    at = 0
+    at, kind_of = 0, model.kind
     for line in body.split("\n"):
         here: list[tuple[int, int, str]] = []
-        if "@" in line or "at" in line or "arroba" in line.lower() or "AT" in line:
+        if _MAIL_SIGN.search(line):
             for m in _EMAIL.finditer(line):
                 local, _, host = m.group().partition("@")
                 if not (host.lower().startswith("lists.") or local.lower().startswith(("leave-", "unsubscribe", "noreply", "no-reply"))):
                     here.append((m.start(), m.end(), "email"))
                 else:
                     here.append((m.start(), m.end(), ""))
-        if any(c.isdigit() for c in line):
+        if _DIGIT.search(line):
             for kind, pattern, group in (("id_number", _ID, 0), ("phone", _PHONE, 0), ("phone", _BARE_PHONE, 1), ("address", _ADDRESS, 0)):
                 for m in pattern.finditer(line):
                     if free(m.start(group), m.end(group)):
                         here.append((m.start(group), m.end(group), kind))
-        words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(line)]
-        kinds = [model.kind(w) if len(w) > 2 else None for _, _, w in words]
+        # words that are part of names, and initials; what stands between two of them tells whether they are one name
+        words = [(m.start(), m.end(), w, k) for m in _WORD.finditer(line) if (k := kind_of(w := m.group())) is not None or (len(w) == 1 and w.isupper())]
         i = 0
-        while i < len(words):
-            (b, e, w), k = words[i], kinds[i]
-            nxt = line[e : words[i + 1][0]] if i + 1 < len(words) else None
-            found = 0
-            if nxt is not None and kinds[i + 1] is not None:
-                k2 = kinds[i + 1]
-                k3 = kinds[i + 2] if i + 2 < len(words) and line[words[i + 1][1] : words[i + 2][0]] == " " else None
-                if k == 0 and k2 == 1 and nxt in (" ", "\u00a0"):
-                    found = 2
-                elif k == 1 and k2 == 0 and nxt in (" ", "\u00a0", ", ", ",") and k3 != 1:
-                    found = 2
-                elif len(w) == 1 and w.isupper() and k2 == 1 and nxt in (". ", ".", ".\u00a0"):
-                    found = 2
-            if found and free(b, words[i + 1][1]):
-                here.append((b, words[i + 1][1], "name"))
+        while i + 1 < len(words):
+            (b, e, _, k), (b2, e2, _, k2) = words[i], words[i + 1]
+            between = line[e:b2]
+            follows = i + 2 < len(words) and words[i + 2][3] == 1 and line[e2 : words[i + 2][0]] == " "
+            given_family = k == 0 and k2 == 1 and between in (" ", "\u00a0")
+            family_given = k == 1 and k2 == 0 and between in (" ", "\u00a0", ", ", ",") and not follows
+            initial_family = k is None and k2 == 1 and between in (". ", ".", ".\u00a0")
+            if (given_family or family_given or initial_family) and free(b, e2):
+                here.append((b, e2, "name"))
                 i += 2
             else:
                 i += 1
