@@ -1,7 +1,7 @@
 """Problem 7: texts into containers of a fixed number of tokens, by bound-certified repacking.
 
 Every partition of items is packed by best-fit decreasing and compared with a lower bound from dual-feasible functions: a
-partition whose number of containers equals its bound is certified. What has gaps (containers with space left) is exchanged:
+partition whose number of containers equals its bound is certified; one that isn't is packed again by best sums. What has gaps (containers with space left) is exchanged:
 such containers are spread anew over fewer partitions and their items packed again, where a new packing is kept only if it
 needs fewer containers. Containers without a gap never move again. Only sizes and ids are shuffled, never texts.
 """
@@ -71,11 +71,56 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def best_sums(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item: the largest item left, then those that together come nearest to the rest of its container.
+
+    The sums that can be reached are the bits of one integer; larger sizes are tried first, and the search of a container ends
+    when it can be filled exactly.
+    """
+    queues: dict[int, list[int]] = {}
+    for i, size in enumerate(sizes.tolist()):
+        queues.setdefault(size, []).append(i)
+    bins = np.zeros(len(sizes), dtype=np.int64)
+    queues.pop(0, None)  # what takes no room stays in the first container
+    order, opened = sorted(queues, reverse=True), 0
+    while order:
+        if not queues[order[0]]:
+            order.pop(0)
+            continue
+        content, room = [order[0]], capacity - order[0]
+        reach, full, mask, steps = 1, 1 << room, (1 << (room + 1)) - 1, []
+        for size in order:
+            free = len(queues[size]) - (size == order[0])
+            for _ in range(min(free, room // size) if size <= room else 0):
+                grown = reach | ((reach << size) & mask)
+                if grown == reach:
+                    break
+                steps.append((reach, size))
+                reach = grown
+                if reach & full:
+                    break
+            if reach & full:
+                break
+        at = reach.bit_length() - 1
+        for before, size in reversed(steps):
+            if not before >> at & 1:
+                at -= size
+                content.append(size)
+        for size in content:
+            bins[queues[size].pop()] = opened
+        opened += 1
+        if opened % 64 == 0:
+            order = [size for size in order if queues[size]]
+    return bins
+
+
 def _pack(pdf: pd.DataFrame, capacity: int, round_: int) -> pd.DataFrame:
     """One partition: a new packing, kept if it needs fewer containers than the items come in."""
     sizes = pdf["tokens"].to_numpy(np.int64)
     old = pdf["container"].to_numpy(np.int64)
     bins, part = best_fit_decreasing(sizes, capacity), int(pdf["part"].iloc[0])
+    if int(bins.max()) + 1 > lower_bound(sizes, capacity):  # not certified: a second way, kept if it is better
+        bins = min(bins, best_sums(sizes, capacity), key=lambda b: int(b.max()))
     before = len(np.unique(old)) if round_ else None
     if before is None or int(bins.max()) + 1 < before:
         pdf = pdf.assign(container=(np.int64(round_) << 58) | (np.int64(part) << 22) | bins)

@@ -138,6 +138,16 @@ def test_packing_and_bound(sizes):
     assert len(used) < 2 or sorted(used)[0] + sorted(used)[1] > 50 or 0 in x
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=60))
+def test_best_sums(sizes):
+    x = np.array(sizes)
+    bins = containers.best_sums(x, 50)
+    used = np.bincount(bins, weights=x)
+    assert used.max() <= 50 and used.sum() == x.sum() and len(set(bins.tolist())) >= bins.max()
+    assert containers.lower_bound(x, 50) <= bins.max() + 1
+
+
 def test_bound_beats_volume():
     assert containers.lower_bound(np.array([26] * 10), 50) == 10
     assert containers.lower_bound(np.array([17] * 9), 50) == 5
