@@ -268,9 +268,10 @@ class SharedSpans:
         self.places = materialize(salted_join(self.seeds, shared, ["seed"], self.heavy, F.struct("doc_id", "place")), "places")
 
     def _windows(self, places: DataFrame) -> DataFrame:
-        """window, doc_id, place: the windows of ``span`` characters around some places of seeds that stand in several texts.
+        """window, doc_id, place, before: the windows of ``span`` characters around some places of seeds that stand in several texts.
 
-        Where a seed is vague, its places aren't complete, and all windows of the text are taken.
+        Where a seed is vague, its places aren't complete, and all windows of the text are taken. ``before``: the window one
+        character earlier if it is among them too, else a value of this place alone.
         """
         span, k = self.span, self.k
         of = places.groupBy("doc_id").agg(F.collect_set("place").alias("at"), F.max("vague").alias("vague"))  # bounded by the text
@@ -284,9 +285,12 @@ class SharedSpans:
                     for p in at:
                         near[max(0, p + k - span) : p + 1] = True
                     place = np.flatnonzero(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(values[place].view(np.int64)), pa.array(np.full(len(place), doc, np.int64)), pa.array(place.astype(np.int32))], ["window", "doc_id", "place"])
+                    alone = _mix(place.astype(np.uint64) + _mix(np.full(len(place), doc, np.int64).view(np.uint64)))
+                    before = np.where((place > 0) & near[place - 1], values[place - 1], alone)
+                    columns = [pa.array(values[place].view(np.int64)), pa.array(np.full(len(place), doc, np.int64)), pa.array(place.astype(np.int32)), pa.array(before.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["window", "doc_id", "place", "before"])
 
-        found = materialize(texts.mapInArrow(windows, "window long, doc_id long, place int"), "windows")
+        found = materialize(texts.mapInArrow(windows, "window long, doc_id long, place int, before long"), "windows")
         counts = found.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(F.col("low") != F.col("high")).select("window", "n")
         counts = materialize(counts, "windows")
         return salted_join(found, counts, ["window"], heavy_keys(counts, ["window"], "n", found.count()), F.struct("doc_id", "place")).drop("n")
@@ -306,18 +310,32 @@ class SharedSpans:
         out = sized.join(members, "doc_id", "left").withColumn("shared_chars", F.least(shared, F.col("n_chars").cast("long")))
         return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "shared_chars", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)).alias("share"))
 
-    def anchors(self) -> DataFrame:
-        """doc_a, doc_b, anchors, vague: of each pair of representatives the places that seeds have in common."""
+    def _seeded(self) -> DataFrame:
+        """doc_id_a, doc_id_b, place_a, place_b, vague: the places that two texts have in common by seeds that aren't hot."""
         places = self.places.filter(F.col("places") <= HOT).select("seed", "doc_id", "place", "vague")
         a, b = (places.select("seed", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "place", "vague"))) for x in "ab")
         met = a.join(b, "seed").filter(F.col("doc_id_a") < F.col("doc_id_b"))
-        met = met.select("doc_id_a", "doc_id_b", "place_a", "place_b", (F.col("vague_a") | F.col("vague_b")).alias("vague"))
-        if not self.places.filter(F.col("places") > HOT).isEmpty():
-            # of neighbouring windows one is enough: the first in the text with the lesser id
-            w = self._windows(self.places.filter(F.col("places") > HOT))
-            a, b = (w.select("window", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "place"))) for x in "ab")
-            hot = a.join(b, "window").filter(F.col("doc_id_a") < F.col("doc_id_b")).groupBy("doc_id_a", "doc_id_b").agg(F.min(F.struct("place_a", "place_b")).alias("p"))
-            met = met.unionByName(hot.select("doc_id_a", "doc_id_b", "p.place_a", "p.place_b", F.lit(True).alias("vague")))
+        return met.select("doc_id_a", "doc_id_b", "place_a", "place_b", (F.col("vague_a") | F.col("vague_b")).alias("vague"))
+
+    def _hot(self) -> DataFrame | None:
+        """doc_id_a, doc_id_b, place_a, place_b: a common window of each pair that shares one around hot seeds; None without hot seeds.
+
+        A pair meets only where its common passage begins, that is where the windows before differ; windows before which all
+        texts have the same are left out first. So the rows made are the pairs that there are, not the pairs times the length.
+        """
+        hot = self.places.filter(F.col("places") > HOT)
+        if hot.isEmpty():
+            return None
+        windows = self._windows(hot)
+        begins = windows.groupBy("window").agg(F.min("before").alias("low"), F.max("before").alias("high")).filter(F.col("low") != F.col("high")).select("window")
+        begun = materialize(windows.join(begins, "window", "left_semi"), "begun")
+        a, b = (begun.select("window", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "place", "before"))) for x in "ab")
+        met = a.join(b, "window").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("before_a") != F.col("before_b")))
+        return met.groupBy("doc_id_a", "doc_id_b").agg(F.min(F.struct("place_a", "place_b")).alias("p")).select("doc_id_a", "doc_id_b", "p.place_a", "p.place_b")
+
+    @staticmethod
+    def _anchors(met: DataFrame) -> DataFrame:
+        """doc_id_a, doc_id_b, anchors, vague: the places of each pair."""
         return met.groupBy("doc_id_a", "doc_id_b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("anchors"), F.max("vague").alias("vague"))
 
     def passages(self) -> DataFrame:
@@ -326,8 +344,13 @@ class SharedSpans:
         Passages come from chains, so they may hold differences (``edits``); ``longest`` is the longest verbatim run of the pair
         in this passage. Runs of less than ``span`` characters make no passage of their own.
         """
+        hot = self._hot()
+        met = self._seeded()
+        return self._aligned(met if hot is None else met.unionByName(hot.withColumn("vague", F.lit(True))))
+
+    def _aligned(self, met: DataFrame) -> DataFrame:
         span, k = self.span, self.k
-        pairs = materialize(self.anchors(), "pairs")
+        pairs = materialize(self._anchors(met), "pairs")
         used = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
         used = materialize(used, "used")
         heavy = heavy_keys(used, ["doc_id"], "n", max(1, used.agg(F.sum("n")).first()[0] or 0))
@@ -360,7 +383,9 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b: the pairs of documents that share a span."""
-        linked = self.passages().select("doc_id_a", "doc_id_b").distinct()
+        linked = self._aligned(self._seeded()).select("doc_id_a", "doc_id_b")
+        hot = self._hot()  # an equal window of ``span`` characters is the proof, no text is needed
+        linked = (linked if hot is None else linked.unionByName(hot.select("doc_id_a", "doc_id_b"))).distinct()
         members = materialize(self.classes().filter(F.col("copies") > 1), "members")
         for x in "ab":  # a representative without copies stands for itself
             of = members.select(F.col("class_id").alias(f"doc_id_{x}"), F.col("doc_id").alias("member"))
