@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.io import table
+from corpusloom.io import table, texts
 from corpusloom.llm import containers, group_top, mail_layout, mixing, personal_data, quota_sample, shared_spans, subjects, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail_layout.newly_written(table(spark, sf_dir, "message"))
+    return mail_layout.newly_written(texts(spark, sf_dir, "message", "message_id"))
 
 
 def _budget(spark: SparkSession, sf_dir: str) -> token_budget.TokenBudget:
-    return token_budget.TokenBudget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evidence"))
+    return token_budget.TokenBudget(texts(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "evidence"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Subjects:
-    return subjects.Subjects(*(table(spark, sf_dir, name) for name in ("evidence", "classifications", "subject_areas", "subject_labels")))
+    evidence = texts(spark, sf_dir, "evidence", "artifact_id")
+    return subjects.Subjects(evidence, *(table(spark, sf_dir, name) for name in ("classifications", "subject_areas", "subject_labels")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> personal_data.PersonalData:
-    return personal_data.PersonalData(table(spark, sf_dir, "message"))
+    return personal_data.PersonalData(texts(spark, sf_dir, "message", "message_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def p6_top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> containers.Containers:
-    return containers.Containers(table(spark, sf_dir, "documents"))
+    return containers.Containers(texts(spark, sf_dir, "documents", "doc_id"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
-    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.Mix(texts(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> shared_spans.SharedSpans:
-    return shared_spans.SharedSpans(table(spark, sf_dir, "documents"))
+    return shared_spans.SharedSpans(texts(spark, sf_dir, "documents", "doc_id"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
