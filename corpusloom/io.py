@@ -12,6 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which a table in a few files is spread over the cores.
+SMALL = 256 * 2**20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, if it is small and in fewer files than there are cores: else a parquet file with one row group,
+    however long its texts take, is one task. Larger tables, and tables in many files, stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size <= SMALL and len(df.inputFiles()) < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), key)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

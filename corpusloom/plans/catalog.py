@@ -11,7 +11,7 @@ from corpusloom import classify as C
 from corpusloom import vocab as V
 from corpusloom.functions import html, mail, signals, text
 from corpusloom.functions.summary import FILE_KINDS, GREETING, LETTER_HEAD, MONTH, PATH_TOPICS, TEXT_TOPICS, fold_text, folded, summary, telling_line
-from corpusloom.io import materialize, table
+from corpusloom.io import materialize, table, texts
 from corpusloom.operators import merge, recency, rollup, select
 from corpusloom.plans import pipeline
 from corpusloom.sinks.workbook import display
@@ -104,7 +104,7 @@ def _tier_sql(tokens: str, words: str, modality: str, types: str, ext: str, conf
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "source")
     return d.withColumn("words", text.word_count(F.col("text"))).withColumn("tokens", F.coalesce(text.token_estimate(F.col("text")), F.lit(0).cast("long")))
 
 
@@ -127,17 +127,17 @@ def word_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, array_to_string({_PII}, ', ') AS pii_types, CASE WHEN len({_PII}) > 0 THEN 'Yes' ELSE 'No' END AS pii_flag FROM documents")
 def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = signals.pii_types(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(types, ", ").alias("pii_types"), F.when(F.size(types) > 0, "Yes").otherwise("No").alias("pii_flag"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.array_join(types, ", ").alias("pii_types"), F.when(F.size(types) > 0, "Yes").otherwise("No").alias("pii_flag"))
 
 
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(text, {_q(V.PRIVATE_KEY)}) THEN 'private_key' WHEN regexp_matches(text, {_q(V.KUBECONFIG)}) THEN 'kubeconfig' ELSE 'none' END AS secret FROM documents")
 def secret_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(signals.secret_kind(F.col("text")), F.lit("none")).alias("secret"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.coalesce(signals.secret_kind(F.col("text")), F.lit("none")).alias("secret"))
 
 
 @query(f"SELECT doc_id, array_to_string({_types_sql('text')}, '; ') AS content_type FROM documents")
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", signals.joined(signals.content_types(F.col("text"))).alias("content_type"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", signals.joined(signals.content_types(F.col("text"))).alias("content_type"))
 
 
 _TIERED = f"WITH m AS MATERIALIZED (SELECT {_WORDS} AS words, {_TOKENS} AS tokens, {_types_sql('text')} AS types, len({_PII}) > 0 AS pii FROM documents), t AS (SELECT *, {_tier_sql('tokens', 'words', chr(91) + _q('text') + chr(93), 'types', _q('txt'), 'NULL')} AS tier FROM m)"
@@ -163,7 +163,7 @@ def scrubbed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, (CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(t, chr(10))) - CASE WHEN ends_with(t, chr(10)) THEN 1 ELSE 0 END END)::BIGINT AS lines FROM (SELECT doc_id, text, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents)")
 def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.delimited_rows(F.col("text")).alias("lines"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", text.delimited_rows(F.col("text")).alias("lines"))
 
 
 _PAGE = "concat('<html><head><title> ', coalesce(source, ''), '</title></head><body><table><tr><td>', replace(coalesce(text, ''), chr(10), '</td></tr><tr><td>'), '</td></tr></table><img src=\"', coalesce(lang, ''), '/p.PNG?x=1\"><img alt=\"x\"><svg></svg></body></html>')"
@@ -174,7 +174,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lambda name: F.coalesce(F.col(name), F.lit(""))
     body = F.regexp_replace(c("text"), "\n", "</td></tr><tr><td>")
     page = F.concat(F.lit("<html><head><title> "), c("source"), F.lit("</title></head><body><table><tr><td>"), body, F.lit('</td></tr></table><img src="'), c("lang"), F.lit('/p.PNG?x=1"><img alt="x"><svg></svg></body></html>'))
-    return table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", page.alias("page"))
 
 
 @query(f"""
@@ -637,4 +637,4 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
       AND NOT regexp_matches(x, {_q(GREETING)}) AND NOT (regexp_matches(x, {_q(LETTER_HEAD)}) AND length(x) < 80) AND NOT regexp_matches(lower(x), '^https?://') AND length(x) >= 18)[1] AS line FROM l)
     SELECT doc_id, line FROM s""")
 def best_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", telling_line(F.col("text")).alias("line"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", telling_line(F.col("text")).alias("line"))
