@@ -9,10 +9,11 @@ and least sizes reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +112,11 @@ def first_threads(threads: DataFrame, most: int, cap: int, order: Sequence[str],
     return fill(threads, size, cap, [F.asc(o) for o in order], most=most)
 
 
+def _named(df: DataFrame, account: str, size: str) -> DataFrame:
+    """Rows without an account belong to the one without a name, rows without a size take no room."""
+    return df.withColumns({account: F.coalesce(account, F.lit("")), size: F.coalesce(F.col(size), F.lit(0))})
+
+
 def _accounts(df: DataFrame, account: str, size: str) -> DataFrame:
     """account, priority (0 has the most bytes), n."""
     totals = df.groupBy(account).agg(F.sum(size).alias("_total"), F.count(F.lit(1)).alias("_n"))
@@ -120,24 +126,30 @@ def _accounts(df: DataFrame, account: str, size: str) -> DataFrame:
 def equal_split(df: DataFrame, account: str, size: str, cap: int, tie: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
     """An equal share for each account, filled largest first, then what is left of the budget from all the rest.
 
-    An account of more than ``rows`` rows is filled by ranges, all others in one task each.
+    The rows of an account meet in one task, in order, and stream through a fold whose state is the account and what is left of
+    its share; an account of more than ``rows`` rows is filled by ranges instead.
     """
+    df = _named(df, account, size)
     counts = materialize(df.groupBy(account).agg(F.count(F.lit(1)).alias("_n")), "accounts")
     n = counts.count()
     if not n:
         return df.limit(0)
-    share, schema = cap // n, df.schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, *tie], ascending=[False, *[True] * len(tie)], kind="stable")
-        keep, free = [], share
-        for s in pdf[size].tolist():
-            keep.append(s <= free)
-            free -= s if keep[-1] else 0
-        return pdf[keep]
+    share, schema, columns = cap // n, df.schema, df.columns
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, free = object(), 0
+        for batch in it:
+            keep = []
+            for a, s in zip(batch.column(columns.index(account)).to_pylist(), batch.column(columns.index(size)).to_pylist()):
+                if a != current:
+                    current, free = a, share
+                keep.append(s <= free)
+                free -= s if keep[-1] else 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     large = [r[account] for r in counts.filter(F.col("_n") > rows).select(account).collect()]  # at most all rows / rows
-    taken = df.filter(~F.col(account).isin(large) if large else F.lit(True)).groupBy(account).applyInPandas(one, schema)
+    small = df.filter(~F.col(account).isin(large)) if large else df
+    taken = small.repartition(account).sortWithinPartitions(F.asc(account), F.desc(size), *[F.asc(t) for t in tie]).mapInArrow(fold, schema)
     for a in large:
         taken = taken.unionByName(greedy_fill(df.filter(F.col(account) == a), size, share, tie))
     taken = materialize(taken, "shares")
@@ -244,6 +256,7 @@ def _finish_first(fits: DataFrame, order: str, identifier: str, left: int, first
 
 def binary_by_account(df: DataFrame, account: str, size: str, identifier: str, cap: int, rows: int = RANGE_ROWS) -> DataFrame:
     """First the smallest file of each account, if it is within an equal share and fits, then turns, largest files first."""
+    df = _named(df, account, size)
     accounts = materialize(_accounts(df, account, size).select(account, "priority"), "accounts")
     n = accounts.count()
     if not n:
@@ -261,6 +274,7 @@ def binary_by_account(df: DataFrame, account: str, size: str, identifier: str, c
 
 def two_phase(df: DataFrame, folder: str, size: str, order: str, identifier: str, first: int, cap: int, rows: int = RANGE_ROWS) -> DataFrame:
     """Up to ``first`` files of each folder, folder by folder in order of name, then turns over the folders; files in walk order."""
+    df = _named(df, folder, size)
     names = materialize(global_index(df.select(folder).distinct(), [F.asc(folder)], "priority"), "folders")
     columns, left, start, given, parts = df.columns, cap, 0, 0, []
     open_ = materialize(_open(df, folder, size, names), "open") if first > 0 else None

@@ -132,6 +132,14 @@ def test_empty(spark):
     assert ids(select.two_phase(none, "account", "size", "at", "id", 2, 10)) == []
 
 
+def test_without_account_or_size(spark):
+    rows = [("a", None, 5, 0), ("b", None, None, 1), ("c", "x", 4, 2), ("d", None, 9, 3)]
+    df = spark.createDataFrame(rows, "id string, account string, size long, at long")
+    assert ids(select.equal_split(df, "account", "size", 10, ["id"])) == ["a", "b", "c"]
+    assert ids(select.binary_by_account(df, "account", "size", "id", 10)) == ["a", "b", "c"]
+    assert ids(select.two_phase(df, "account", "size", "at", "id", 1, 10)) == ["a", "b", "c"]
+
+
 def test_places(spark):
     rows = items(3, 50, 3)
     got = {r["id"]: r["p"] for r in select.place_in_groups(frame(spark, rows), ["account"], [F.asc("at")], "p", rows=7).collect()}
