@@ -50,8 +50,13 @@ _PHONE = re.compile(
     r"\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ ./-]?\d{1,6}){2,6}|00\d{2}(?:[ .-]?\d{1,8}){2,5}|\(\d{2,5}\)(?:[ .-]?\d{2,8}){1,3}|0\d{1,4}/\d{5,9}|0\d{2} \d{4} \d{4}|0\d(?:[ .-]\d\d){4}|0\d{4} \d{6}"
     r"|\d{3}([.-])\d{3}\1\d{4}|[6789]\d{2} \d{2} \d{2} \d{2}|[6789]\d{2} \d{3} \d{3})(?![\w/-]|[.,]\d)"
 )
-#: Nine bare digits are a telephone number only after a word that says so.
-_BARE_PHONE = re.compile(r"(?<=\b)(?:(?:[Tt]el|[Tt]él|[Ff]ono|[Tt]eléfono|[Mm]óvil|[Mm]obile|[Pp]hone|[Cc]ontact|M|al|au|on|unter|oder|dial-in|[Cc]all)[.:]*|·) +([6789]\d{8})(?![\w/-]|[.,]\d)")
+#: What numbers of nine bare digits are of, besides telephones.
+NUMBERED = "Parcel|Package|Order|Serial|Build|Meter|Count|Code|Zähler|Paket|Auftrag|Bestellung|Colis|Compteur|Commande|Paquete|Pedido|Contador"
+#: Nine bare digits are a telephone number only after a word that says so, after a name as in a signature, or alone on a line.
+_BARE_PHONE = re.compile(
+    rf"(?:(?:(?<!\w)(?:[Tt]el|[Tt]él|[Ff]ono|[Tt]eléfono|[Mm]óvil|[Mm]obile|[Pp]hone|[Cc]ontact|M|al|au|on|unter|oder|dial-in|[Cc]all)[.:]*|·) +|(?<!\w)(?!(?:{NUMBERED})\b)[A-ZÀ-Þ][a-zà-ÿ]+ |^[>|»\s]*)"
+    rf"(?P<digits>[6789]\d{{8}})(?![\w/-]|[.,]\d)(?P<end>\s*$)?"
+)
 _ADDRESS = re.compile(
     rf"(?<![\w-])(?:(?:(?:Flat|Apt\.?|Unit|Suite) \w+, )?\d+[A-Za-z]? {_UP}(?: {_UP})? {STREETS}(?:, (?:Suite|Apt\.?|Unit|Flat|Floor) \w+)?, {_UP}(?: {_UP})??(?:(?:,? [A-Z]{{2}},? \d{{5}})| [A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}}|(?=[\s.,;:)]|$))"
     rf"|\d+(?: bis| ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)(?: (?:de|du|des|de la|d['’]))? ?{_UP}(?: {_UP})?, \d{{5}} {_TOWN}"
@@ -165,8 +170,10 @@ def find(body: str, model: NameModel) -> list[tuple[int, int, str]]:
                 else:
                     here.append((m.start(), m.end(), ""))
         if _DIGIT.search(line):
-            for kind, pattern, group in (("id_number", _ID, 0), ("phone", _PHONE, 0), ("phone", _BARE_PHONE, 1), ("address", _ADDRESS, 0)):
+            for kind, pattern, group in (("id_number", _ID, 0), ("phone", _PHONE, 0), ("phone", _BARE_PHONE, "digits"), ("address", _ADDRESS, 0)):
                 for m in pattern.finditer(line):
+                    if pattern is _BARE_PHONE and not m.group()[: m.start("digits") - m.start()].strip(" \t>|»") and m["end"] is None:
+                        continue  # begins the line, but isn't alone on it
                     if free(m.start(group), m.end(group)):
                         here.append((m.start(group), m.end(group), kind))
         # words that are part of names, and initials; what stands between two of them tells whether they are one name
