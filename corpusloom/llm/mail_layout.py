@@ -74,7 +74,7 @@ NOT_NAMES = [
     "On", "El", "Le", "Am", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "Lundi", "Mardi", "Mercredi", "Jeudi", "Vendredi", "Samedi", "Dimanche",
     "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag", "Lunes", "Martes", "Miércoles", "Jueves", "Viernes", "Sábado", "Domingo", "Yesterday", "Hier", "Ayer", "Gestern",
 ]
-_NAME_WORD = rf"(?!(?:{'|'.join(NOT_NAMES)})\b)[^\W\d_a-zà-ÿ][\w.'’-]*"
+_NAME_WORD = rf"(?!(?:{'|'.join(NOT_NAMES)})\b)[^\W\d_a-zà-ÿ](?:\.|[\w'’-]*)"
 _NAME = rf"{_NAME_WORD}(?: {_NAME_WORD}){{1,3}}"
 _WHO = rf"(?:{_NAME} {_MAIL}|{_NAME}|{_MAIL})"
 #: A date after On/El/Le/Am, then who, then the verb; German puts the verb between; or who and the verb alone.

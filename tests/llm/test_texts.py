@@ -31,6 +31,7 @@ def new(body, sender="Ann Lee <ann.lee@x.io>"):
         ("Fine.\n\nAnn Lee · Boss · X · +1 555", ["Fine."]),
         ("Fine.\n\nSent from my phone", ["Fine."]),
         ("Fine. Thanks, Ann Lee Boss X Tel. 1 On Wed, Jan 3, 2024 at 01:00 PM Bob Roe wrote: Hi Ann", ["Fine."]),
+        ("Hand it to Town. Bob Roe <b@x.io> writes: Hi Ann", ["Hand it to Town."]),
         ("Fine. — Ann Lee X PS: more here. AVISO LEGAL: nada.", ["Fine.", "PS: more here."]),
         ("Fine, see\n\n___________\nYou get this mail as a member of the list", ["Fine, see"]),
     ],
