@@ -12,6 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folders: dict[str, str | None] = {}
 #: Bytes up to which a table in a few files is spread over the cores.
 SMALL = 256 * 2**20
 
@@ -32,8 +33,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        found = _own_folders.setdefault(application, None) or tempfile.mkdtemp(prefix="corpusloom-")
+        _own_folders[application] = found
     return found
 
 
