@@ -17,7 +17,8 @@ def text_key(text: Column) -> list[Column]:
 
 
 class DistinctTexts:
-    """``keyed``: the documents with their key. ``groups``: key, least id, number of copies. ``copies``: (id, key) of the documents
+    """``keyed``: the documents with their key. ``rows``: the same without the texts, stored, so that these are read once for
+    the keys and once for what is done with each distinct one. ``groups``: key, least id, number of copies. ``copies``: (id, key) of the documents
     that are not their group's least. ``heavy``: the keys with a thousandth of all documents or more.
 
     Only keys and ids are shuffled, combined on the map side; texts never are: ``one_each`` drops the copies by an anti join,
@@ -27,7 +28,8 @@ class DistinctTexts:
     def __init__(self, documents: DataFrame, identifier: str = "doc_id", text: str = "text"):
         self.identifier = identifier
         self.keyed = documents.select("*", *text_key(F.col(text)))
-        ids = self.keyed.select(identifier, *KEY)
+        self.rows = materialize(self.keyed.drop(text), "keys")
+        ids = self.rows.select(identifier, *KEY)
         self.groups = materialize(ids.groupBy(*KEY).agg(F.min(identifier).alias("least"), F.count(F.lit(1)).alias("copies")), "texts")
         self.total = self.groups.agg(F.sum("copies")).first()[0] or 0
         self.heavy = materialize(heavy_keys(self.groups, KEY, "copies", self.total), "heavy")

@@ -379,7 +379,7 @@ class SharedSpans:
 
     def classes(self) -> DataFrame:
         """doc_id, class_id (the least id with the same text), copies."""
-        return salted_join(self.texts.keyed.select("doc_id", *KEY).distinct(), self.texts.groups, KEY, self.texts.heavy, F.col("doc_id")).select("doc_id", F.col("least").alias("class_id"), "copies")
+        return salted_join(self.texts.rows.select("doc_id", *KEY).distinct(), self.texts.groups, KEY, self.texts.heavy, F.col("doc_id")).select("doc_id", F.col("least").alias("class_id"), "copies")
 
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b: the pairs of documents that share a span."""

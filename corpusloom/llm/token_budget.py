@@ -36,7 +36,7 @@ class TokenBudget:
 
     def __init__(self, documents: DataFrame, evidence: DataFrame, vocabulary: str = VOCABULARY):
         self.texts = DistinctTexts(documents.select("doc_id", "text", "lang", "artifact_id", "owner_email"))
-        self.keyed = self.texts.keyed.drop("text")
+        self.keyed = self.texts.rows
         counted = with_token_count(self.texts.one_each().select(*KEY, "text"), "text", "tokens", vocabulary)
         self.tokens = counted.groupBy(*KEY).agg(F.max("tokens").alias("tokens"))
         self.evidence = evidence
