@@ -32,7 +32,7 @@ SPAN = 200
 K = 100
 #: Places from which a seed is hot.
 HOT = 64
-#: Places of one seed in one text from which only the first is kept and the pair is compared as a whole.
+#: Places of one seed in one text from which only the first is kept and the pair is compared as a whole, all places of its windows.
 REPEATS = 8
 #: Members from which a class of exact copies is linked to its least member only.
 EXPAND = 1000
@@ -215,21 +215,45 @@ def align(x: np.ndarray, y: np.ndarray, anchors: np.ndarray, k: int) -> tuple[li
     return passages, every
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for each j from ``low[i]`` up to ``high[i]``."""
+    n = np.maximum(high - low, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[i]
+
+
+def _met(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, bool]:
+    """The anchors of two texts by all their common ``seeds``, and whether one of these is vague."""
+    (_, value_x, place_x, vague_x), (_, value_y, place_y, vague_y) = x, y
+    order = np.argsort(value_y, kind="stable")
+    value_y, place_y, vague_y = value_y[order], place_y[order], vague_y[order]
+    i, j = _ranges(np.searchsorted(value_y, value_x), np.searchsorted(value_y, value_x, side="right"))
+    return np.stack([place_x[i], place_y[j]], 1), bool((vague_x[i] | vague_y[j]).any())
+
+
+def _begun(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The (i, j) of equal values before which there are no equal ones: as many rows as there are runs, however long these are."""
+    before_x, before_y = np.concatenate([[1], x[:-1] + 2]), np.concatenate([[0], y[:-1] + 2])
+    size = max(x.max(), y.max()) + 3
+    order = np.lexsort((before_y, y))
+    key, ordered = y[order] * size + before_y[order], y[order]
+    same = x * size + before_x
+    found = [_ranges(np.searchsorted(ordered, x), np.searchsorted(key, same)), _ranges(np.searchsorted(key, same, side="right"), np.searchsorted(ordered, x, side="right"))]
+    return np.concatenate([np.stack([i, order[j]], 1) for i, j in found])
+
+
 def _all_runs(x: np.ndarray, y: np.ndarray, span: int) -> np.ndarray:
-    """Anchors for a pair with vague seeds: for each common window of ``span`` characters of x, its first place in y."""
+    """Anchors for a pair with vague seeds: the first and the last window of each verbatim run of ``span`` characters or more.
+
+    A window that stands several times in either text is in a run for each two of its places.
+    """
     if min(len(x), len(y)) < span:
         return np.empty((0, 2), np.int64)
     hx, hy = window_hashes(x, span), window_hashes(y, span)
-    value, at = np.unique(hy, return_index=True)
-    found = np.minimum(np.searchsorted(value, hx), len(value) - 1)
-    hit = np.flatnonzero(value[found] == hx)
-    pairs = np.stack([hit, at[found[hit]]], 1)
-    # of neighbours on one diagonal the first and the last are enough
-    edge = np.ones(len(pairs), bool)
-    if len(pairs) > 2:
-        step = (np.diff(pairs, axis=0) == 1).all(1)
-        edge[1:-1] = ~(step[:-1] & step[1:])
-    return pairs[edge]
+    number = np.unique(np.concatenate([hx, hy]), return_inverse=True)[1]
+    nx, ny = number[: len(hx)], number[len(hx) :]
+    last = np.array([len(nx) - 1, len(ny) - 1]) - _begun(nx[::-1], ny[::-1])
+    return np.unique(np.concatenate([_begun(nx, ny), last]), axis=0)
 
 
 class SharedSpans:
@@ -342,7 +366,8 @@ class SharedSpans:
         """doc_id_a, doc_id_b, begin_a, end_a, begin_b, end_b, edits, longest: the passages of each pair of representatives.
 
         Passages come from chains, so they may hold differences (``edits``); ``longest`` is the longest verbatim run of the pair
-        in this passage. Runs of less than ``span`` characters make no passage of their own.
+        in this passage. Runs of less than ``span`` characters make no passage of their own. Two texts with hot seeds get their
+        anchors from the seeds of both, all places of all common ones, so HOT changes no row.
         """
         hot = self._hot()
         met = self._seeded()
@@ -355,7 +380,9 @@ class SharedSpans:
         used = materialize(used, "used")
         heavy = heavy_keys(used, ["doc_id"], "n", max(1, used.agg(F.sum("n")).first()[0] or 0))
         texts = materialize(self.one.join(used.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "text")
-        side = lambda x: texts.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("text").alias(f"text_{x}"))
+        hot = self.places.filter(F.col("places") > HOT).select("doc_id").distinct().withColumn("hot", F.lit(True))
+        texts = texts.join(hot, "doc_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        side = lambda x: texts.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("text").alias(f"text_{x}"), F.col("hot").alias(f"hot_{x}"))
         both = salted_join(pairs, side("a"), ["doc_id_a"], heavy.withColumnRenamed("doc_id", "doc_id_a"), F.col("doc_id_b"))
         both = salted_join(both, side("b"), ["doc_id_b"], heavy.withColumnRenamed("doc_id", "doc_id_b"), F.col("doc_id_a"))
 
@@ -363,11 +390,14 @@ class SharedSpans:
             names = ["doc_id_a", "doc_id_b", "begin_a", "end_a", "begin_b", "end_b", "edits", "longest"]
             for batch in it:
                 rows = []
+                seeded = lru_cache(maxsize=256)(lambda text: seeds([text], span, k))
                 for r in batch.to_pylist():
                     x, y = _code_points(r["text_a"]), _code_points(r["text_b"])
-                    anchors = np.array([(p["place_a"], p["place_b"]) for p in r["anchors"]], np.int64)
+                    anchors, vague = np.array([(p["place_a"], p["place_b"]) for p in r["anchors"]], np.int64), r["vague"]
+                    if r["hot_a"] and r["hot_b"]:  # they may have hot seeds in common, which aren't among the anchors
+                        anchors, vague = _met(seeded(r["text_a"]), seeded(r["text_b"]))
                     pieces = align(x, y, anchors, k)
-                    if r["vague"] and len(more := _all_runs(x, y, span)):
+                    if vague and len(more := _all_runs(x, y, span)):
                         pieces = tuple(one + two for one, two in zip(pieces, align(x, y, more, span)))
                     for begin_a, end_a, begin_b, end_b, edits in set(pieces[0]):
                         longest = max((n for p, q, n in pieces[1] if begin_a <= p and p + n <= end_a and begin_b <= q and q + n <= end_b), default=0)
@@ -375,7 +405,7 @@ class SharedSpans:
                             rows.append((r["doc_id_a"], r["doc_id_b"], begin_a, end_a, begin_b, end_b, edits, longest))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 8)], names)
 
-        return both.select("doc_id_a", "doc_id_b", "text_a", "text_b", "anchors", "vague").mapInArrow(aligned, "doc_id_a long, doc_id_b long, begin_a long, end_a long, begin_b long, end_b long, edits long, longest long")
+        return both.select("doc_id_a", "doc_id_b", "text_a", "text_b", "anchors", "vague", "hot_a", "hot_b").mapInArrow(aligned, "doc_id_a long, doc_id_b long, begin_a long, end_a long, begin_b long, end_b long, edits long, longest long")
 
     def classes(self) -> DataFrame:
         """doc_id, class_id (the least id with the same text), copies."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -243,6 +244,59 @@ def test_shared_spans(spark, monkeypatch, seed, hot):
     assert shared_spans.SharedSpans(df.limit(0), span=40, k=20).pairs().count() == 0
 
 
+def repeated(seed, n=24):
+    """Texts with a few stock passages, some of them several times in one text."""
+    r = random.Random(seed)
+    word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    stock = [word(r.randrange(42, 70)) for _ in range(3)]
+    docs = [(i, "".join(word(r.randrange(1, 50)) + r.choice(stock) for _ in range(r.randrange(1, 5)))) for i in range(n)]
+    often = "".join(stock[0] + word(3) for _ in range(shared_spans.REPEATS + 2))
+    return docs + [(n, word(9) + stock[1] + word(9)), (n + 1, stock[1] + word(60) + stock[1]), (n + 2, often), (n + 3, word(5) + stock[0] + word(4) + stock[0]), (n + 4, "z" * 47), (n + 5, "y" + "z" * 44)]
+
+
+def maximal(a, b, span):
+    """All verbatim runs (place in a, place in b, length) that can't be made longer, by brute force."""
+    out = set()
+    for d in range(-len(a), len(b)):
+        p = max(0, -d)
+        while p < min(len(a), len(b) - d):
+            n = 0
+            while p + n < min(len(a), len(b) - d) and a[p + n] == b[p + n + d]:
+                n += 1
+            if n >= span:
+                out.add((p, p + d, n))
+            p += n + 1
+    return out
+
+
+def test_shared_passages_repeat(spark, monkeypatch):
+    docs = repeated(5)
+    text, df, got = dict(docs), spark.createDataFrame(docs, "doc_id long, text string"), {}
+    for hot in (3, 10_000):
+        monkeypatch.setattr(shared_spans, "HOT", hot)
+        got[hot] = sorted(tuple(p) for p in shared_spans.SharedSpans(df, span=40, k=20).passages().collect())
+    assert got[3] == got[10_000]
+    found = defaultdict(list)
+    for a, b, *p in got[3]:
+        found[a, b].append(p)
+    for a, b in combinations(text, 2):
+        runs = maximal(text[a], text[b], 40)
+        for p, q, n in runs:
+            assert any(x <= p and p + n <= x2 and y <= q and q + n <= y2 and longest >= n for x, x2, y, y2, _, longest in found[a, b]), (a, b, p, q, n)
+        assert {longest for *_, longest in found[a, b]} <= {n for _, _, n in runs}
+    n = len(docs) - 6
+    assert len(found[n, n + 1]) == 2  # once in one text, twice in the other
+
+
+def test_all_runs():
+    r = random.Random(3)
+    for _ in range(60):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randrange(70))) for _ in range(2))
+        got = shared_spans._all_runs(*(shared_spans._code_points(t) for t in (a, b)), 5)
+        runs = maximal(a, b, 5)
+        assert {tuple(x) for x in got.tolist()} == {(p, q) for p, q, _ in runs} | {(p + n - 5, q + n - 5) for p, q, n in runs}
+
+
 def test_chain():
     anchors = np.array([(0, 50), (10, 60), (20, 5), (30, 80), (200, 250)])
     chains = [c.tolist() for c in shared_spans.chain(anchors, 20)]
