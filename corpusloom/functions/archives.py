@@ -15,6 +15,7 @@ from corpusloom.sources.files import sheet_rows
 
 #: Fixed value: bytes from which a worksheet counts as one with data.
 DATA_SHEET = 1500
+_WORD, _DRAWN = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 _MEDIA = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "webp": "webp", "svg": "svg", "bmp": "bmp", "tif": "bmp", "tiff": "bmp"}
 
 
@@ -50,6 +51,22 @@ def counts(data: bytes | None, kind: str) -> dict[str, int]:
     return {k: v for k, v in out.items() if v}
 
 
+def layout(data: bytes | None, kind: str) -> tuple[int | None, int, int]:
+    """What pages are counted by: slides of a pptx or sheets of an xlsx or xlsm file, else null; pictures in the lines of a docx file and their summed height."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(bytes(data or b""))) as z:
+            if kind == "docx":
+                extents = [e.find(f"{_DRAWN}extent") for e in ElementTree.fromstring(z.read("word/document.xml")).findall(f".//{_WORD}p/{_WORD}r/{_WORD}drawing/{_DRAWN}inline")]
+                return None, len(extents), sum(int(e.get("cy") or 0) for e in extents if e is not None)
+            if kind == "pptx":
+                return sum(e.tag.endswith("}sldId") for e in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter()), 0, 0
+            names, links = set(z.namelist()), {r.get("Id"): r.get("Target") or "" for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            sheets = [links.get(v, "") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet") for k, v in e.attrib.items() if k.endswith("}id")]
+            return sum((t.lstrip("/") if t.startswith("/") else f"xl/{t}") in names for t in sheets), 0, 0
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, OSError, RuntimeError, ValueError):
+        return None, 0, 0
+
+
 def text(data: bytes | None, kind: str) -> str | None:
     """The text of a docx, pptx or xlsx file; null if it can't be read."""
     try:
@@ -72,6 +89,12 @@ def archive_counts(content: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([counts(c, k) if k in ("docx", "pptx", "xlsx") else {} for c, k in zip(content, kind)])
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("units", "pictures", "picture_height")]))
+def archive_layout(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    rows = [layout(c, k) if k in ("docx", "pptx", "xlsx", "xlsm") else (None, 0, 0) for c, k in zip(content, kind)]
+    return pd.DataFrame(rows, columns=["units", "pictures", "picture_height"]).astype("Int64")
+
+
 @F.pandas_udf(T.StringType())
 def archive_text(content: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([text(c, k) if c is not None and k in ("docx", "pptx", "xlsx", "xlsm") else None for c, k in zip(content, kind)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.classify import Classifier, offline, two_pass
 from corpusloom.functions import html, signals, text
-from corpusloom.functions.archives import archive_counts, archive_text
+from corpusloom.functions.archives import archive_counts, archive_layout, archive_text
 from corpusloom.functions.summary import folded, summary
 from corpusloom.operators import merge, rollup
 from corpusloom.sinks.workbook import tabs
@@ -16,9 +16,14 @@ from corpusloom.sinks.workbook import tabs
 HEAD, SNIPPET = 4000, 800
 
 
+def _plain() -> Column:
+    """The content as text; bytes that aren't UTF-8, as in office files, become replacement characters and no error."""
+    return F.make_valid_utf8(F.col("content").cast("string"))
+
+
 def full_text(files: DataFrame) -> DataFrame:
     """``files`` (filename, extension, content) with ``full_text``: by kind of file; media have the stem of their name; null if unreadable."""
-    e, plain = F.col("extension"), F.decode(F.col("content"), "UTF-8")
+    e, plain = F.col("extension"), _plain()
     stem = F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "")
     body = (
         F.when(signals.is_title_only(e), stem).when(e.isin("html", "htm"), html.main_text(plain)).when(e.isin("docx", "pptx", "xlsx", "xlsm"), archive_text("content", "extension"))
@@ -29,7 +34,7 @@ def full_text(files: DataFrame) -> DataFrame:
 
 def content_inventory(files: DataFrame) -> Column:
     """The cell of counts for a row with extension and content."""
-    e, plain = F.col("extension"), F.decode(F.col("content"), "UTF-8")
+    e, plain = F.col("extension"), _plain()
     pair = lambda *x: F.create_map(*[v for k, n in x for v in (F.lit(k), n.cast("long"))])
     picture = F.when(e.isin("jpg", "jpeg"), "jpeg").when(e.isin("png", "gif", "svg", "webp"), e).when(e.isin("bmp", "tif", "tiff"), "bmp").otherwise("other_image")
     counts = (
@@ -46,17 +51,17 @@ def evidence(files: DataFrame) -> DataFrame:
     words = text.word_count(F.col("full_text"))
     pii = signals.pii_types(F.col("_head"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    plain = F.decode(F.col("content"), "UTF-8")
+    plain = _plain()
     embedded = F.col("extension").isin("html", "htm") & html.has_picture(plain) | F.col("content_inventory").rlike(r"(^|; )images: ")
     return (
-        read.withColumn("_head", head).withColumn("word_count", words).withColumn("content_inventory", content_inventory(read))
+        read.withColumn("_head", head).withColumn("word_count", words).withColumn("content_inventory", content_inventory(read)).withColumn("_layout", archive_layout("content", "extension"))
         .withColumns({
             "snippet": F.coalesce(F.substring("_head", 1, SNIPPET), F.lit("")), "pii_types": F.array_join(pii, ", "), "pii_flag": F.when(F.size(pii) > 0, "Yes").otherwise("No"),
-            "token_count": F.coalesce(text.token_estimate(F.col("full_text")), F.lit(0).cast("long")), "page_count": text.page_count(F.col("extension"), F.col("word_count")),
+            "token_count": F.coalesce(text.token_estimate(F.col("full_text")), F.lit(0).cast("long")), "page_count": text.page_count(F.col("extension"), F.col("word_count"), *[F.col(f"_layout.{x}") for x in ("units", "pictures", "picture_height")]),
             "modality": signals.joined(signals.modalities(F.col("extension"), embedded)), "_path": folded(F.concat_ws("/", folder, "filename")), "_text": folded(F.col("_head")),
         })
         .withColumn("content_summary", summary(F.col("filename"), folder, F.col("extension"), F.col("_head"), F.col("_path"), F.col("_text")))
-        .drop("_head", "_path", "_text", "content", "full_text")
+        .drop("_head", "_path", "_text", "_layout", "content", "full_text")
     )
 
 

@@ -5,6 +5,7 @@ import io
 import json
 import os
 import tarfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,29 @@ def test_logs_and_manifest(spark, tmp_path):
     assert sorted((r["file_id"], r["bucket_name"]) for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()) == [("x", "Unclassified"), ("y", "C")]
 
 
+def office(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, part in parts.items():
+            z.writestr(name, part)
+    return out.getvalue()
+
+
+def test_pages_of_office_files(spark):
+    w, d = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
+    picture = '<w:p><w:r><w:drawing><d:inline><d:extent cx="1" cy="7000000"/></d:inline></w:drawing></w:r></w:p>'
+    document = lambda n: f'<w:document xmlns:w="{w}" xmlns:d="{d}"><w:body><w:p><w:r><w:t>{"word " * 130}</w:t></w:r></w:p>{picture * n}</w:body></w:document>'
+    slides = {"ppt/presentation.xml": '<p:p xmlns:p="p"><p:sldIdLst><p:sldId/><p:sldId/><p:sldId/></p:sldIdLst></p:p>'} | {f"ppt/slides/slide{i}.xml": '<p:s xmlns:p="p"/>' for i in (1, 2, 3)}
+    sheets = {
+        "xl/workbook.xml": '<x:w xmlns:x="x" xmlns:r="r"><x:sheet name="A" r:id="a"/><x:sheet name="B" r:id="b"/></x:w>', "xl/_rels/workbook.xml.rels": '<R><r Id="a" Target="worksheets/sheet1.xml"/><r Id="b" Target="/xl/worksheets/sheet2.xml"/></R>',
+        "xl/worksheets/sheet1.xml": "<s/>", "xl/worksheets/sheet2.xml": "<s/>",
+    }
+    kinds = {"a.docx": {"word/document.xml": document(0)}, "b.docx": {"word/document.xml": document(1)}, "c.docx": {"word/document.xml": document(2)}, "d.pptx": slides, "e.xlsx": sheets, "f.xlsm": sheets}
+    rows = [(n, n, n, n.rpartition(".")[2], bytearray(office(parts))) for n, parts in kinds.items()] + [("g.pptx", "g.pptx", "g.pptx", "pptx", bytearray(b"junk")), ("h.txt", "h.txt", "h.txt", "txt", bytearray(b"one")), ("i.docx", "i.docx", "i.docx", "docx", None)]
+    got = pipeline.evidence(spark.createDataFrame(rows, "artifact_id string, path string, filename string, extension string, content binary")).collect()
+    assert {r["filename"][0]: r["page_count"] for r in got} == {"a": 1, "b": 2, "c": 4, "d": 3, "e": 2, "f": 2, "g": 0, "h": 1, "i": 0}
+
+
 def test_archive_is_safe(tmp_path):
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as t:
