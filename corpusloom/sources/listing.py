@@ -179,24 +179,27 @@ def scan_drives(spark: SparkSession, root: str, limit: int | None = None, cutoff
     return numbered if limit is None else numbered.filter(F.col("row_number") < limit)
 
 
-def with_bodies(files: DataFrame, root: str, most: int = 8192, client: str = f"{__name__}:StoredPages", file: str = "drive_file_id") -> DataFrame:
-    """``files`` (with account) with the first ``most`` bytes of each body as content, and an error where there is none."""
+def with_bodies(files: DataFrame, root: str, most: int | None = None, client: str = f"{__name__}:StoredPages", file: str = "drive_file_id") -> DataFrame:
+    """``files`` (with account) with each body as content, and an error where there is none; with ``most``, its first bytes, and ``truncated`` where there are more."""
     columns = files.columns
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         service = client_of({"client": client, "root": root})
         for batch in it:
-            contents, errors = [], []
+            contents, errors, cut = [], [], []
             for account, name in zip(batch.column(columns.index("account")).to_pylist(), batch.column(columns.index(file)).to_pylist()):
                 try:
-                    contents.append(service.body(account, name)[:most])
+                    body = service.body(account, name)
+                    contents.append(body[:most])
                     errors.append(None)
+                    cut.append(most is not None and len(body) > most)
                 except Exception as e:  # noqa: BLE001
                     contents.append(None)
                     errors.append(type(e).__name__)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], [*columns, "content", "error"])
+                    cut.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string()), pa.array(cut, pa.bool_())], [*columns, "content", "error", "truncated"])
 
-    return files.mapInArrow(fetch, f"{', '.join(f'{n} {t}' for n, t in files.dtypes)}, content binary, error string")
+    return files.mapInArrow(fetch, f"{', '.join(f'{n} {t}' for n, t in files.dtypes)}, content binary, error string, truncated boolean")
 
 
 def fetch_mail(spark: SparkSession, root: str, **options: str) -> DataFrame:

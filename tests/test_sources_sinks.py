@@ -109,6 +109,15 @@ def pages(tmp_path):
     return str(tmp_path / "pages")
 
 
+def test_bodies_are_whole(spark, pages):
+    with open(f"{pages}/u@x.io/bodies/b", "wb") as f:
+        f.write(b"x" * 9000)
+    drives = spark.createDataFrame([("u@x.io", "a"), ("u@x.io", "b"), ("u@x.io", "none")], "account string, drive_file_id string")
+    sizes = lambda **most: {r["drive_file_id"]: (r["content"] and len(r["content"]), r["truncated"]) for r in listing.with_bodies(drives, pages, **most).collect()}
+    assert sizes() == {"a": (10, False), "b": (9000, False), "none": (None, None)}
+    assert sizes(most=10) == {"a": (10, False), "b": (10, True), "none": (None, None)}
+
+
 def test_listings(spark, pages, tmp_path):
     rows = listing.scan_drives(spark, pages).orderBy("row_number").collect()
     assert [(r["account"], r["path"], r["size_bytes"]) for r in rows] == [("u@x.io", "Zeta", None), ("u@x.io", "Zeta/b.txt", 7), ("u@x.io", "Zeta/s", None), ("u@x.io", "a.txt", 5), ("v@x.io", "c.bin", None)]
