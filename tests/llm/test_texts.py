@@ -34,6 +34,19 @@ def new(body, sender="Ann Lee <ann.lee@x.io>"):
         ("Hand it to Town. Bob Roe <b@x.io> writes: Hi Ann", ["Hand it to Town."]),
         ("Fine. — Ann Lee X PS: more here. AVISO LEGAL: nada.", ["Fine.", "PS: more here."]),
         ("Fine, see\n\n___________\nYou get this mail as a member of the list", ["Fine, see"]),
+        ("Please look at this.\n\nThanks\n\nAlso remember the invoice for May is due.", ["Please look at this. Thanks Also remember the invoice for May is due."]),
+        ("Hi Ann,\n\nMany thanks!\nI will send the file tomorrow and call.", ["Hi Ann, Many thanks! I will send the file tomorrow and call."]),
+        ("My answer\n> q1\nreply1\n> q2\nreply2", ["My answer", "reply1", "reply2"]),
+        ("> Can you send it?\n\nYes, attached.", ["Yes, attached."]),
+        ("> 40 units is too much.\n\nOk then.", ["> 40 units is too much. Ok then."]),
+        ("| a | b |\n| 1 | 2 |\n\nSee the table.", ["| a | b | | 1 | 2 | See the table."]),
+        ("Va bene.\n\nIl giorno lun 3 mar 2025 alle ore 10:15 Bob Roe <b@x.io> ha scritto:\n> ciao", ["Va bene."]),
+        ("Ok.\n\nDnia 3 marca 2025 10:15 Bob <b@x.io> napisal(a):\n\n> raz\n> dwa", ["Ok."]),
+        ("Yes\n\nOn Monday, 3 March 2025 at 10:15,\nBob\nRoe\n<b@x.io>\nwrote:\n> hi", ["Yes"]),
+        ("Fine.\n\nBest,\nAnn\n\nOne more thing, please check the second page too.", ["Fine.", "One more thing, please check the second page too."]),
+        ("Fine.\n\nBest,\nAnn\nBoss, Acme\n\nAcme GmbH\nSitz Berlin\n\nThis note may be confidential and is for its recipient only.", ["Fine."]),
+        ("CONFIDENTIALITY NOTICE: secret.\n\nHi Bob, this is the letter that I wrote.\n\nBest,\nAnn", ["Hi Bob, this is the letter that I wrote."]),
+        ("Ok\n\nBob Roe writes:\n> a long quoted line that goes on up to here and\nthere.\n> Yes?\nNo.\n> Sure?", ["Ok", "No."]),
     ],
 )
 def test_layout(body, want):
@@ -45,8 +58,32 @@ def test_tree_is_recursive():
     tree = mail_layout.parse(lines, [])
     quote = next(n for n in tree if n.kind == "quote")
     assert [n.kind for n in quote.inside] == ["text", "introduction", "quote", "text"]
+    assert quote.inside[2].inside[0].kind == "text"
     deep = mail_layout.new_runs("x\n\nBob Roe writes:\n" + "\n".join(">" * k + " y" for k in range(1, 2000)), None)
     assert deep == [(0, 0)]
+    depth, node = 0, mail_layout.parse(["Bob Roe writes:", *(">" * k + " y" for k in range(1, 300))], [])[-1]
+    while node.inside:
+        depth, node = depth + 1, node.inside[-1]
+    assert depth == 299
+
+
+def test_flat_bodies_are_cut_by_the_same_grammar():
+    body = "Fine. Thanks, Ann Lee Boss X PS: more here. AVISO LEGAL: nada. On Wed, Jan 3, 2024 at 01:00 PM Bob Roe wrote: Hi Ann"
+    lines = mail_layout.flat_lines(body, ["ann", "lee"])
+    assert "".join(lines) == body
+    assert [n.kind for n in mail_layout.blocks(lines, ["ann", "lee"], True)] == ["text", "signature", "text", "notice", "introduction", "quote"]
+
+
+def test_long_bodies_take_linear_time():
+    import time
+
+    def seconds(n):
+        body = "\n\n".join(f"Sentence number {i} has some words of its own." for i in range(n))
+        began = time.process_time()
+        assert len(list(mail_layout._rows("m", "Ann Lee", body))) == 2 * n
+        return time.process_time() - began
+
+    assert seconds(8_000) < 30 * max(0.05, seconds(1_000))
 
 
 def test_pasted_without_mark(spark):
