@@ -4,10 +4,12 @@ Detection: formats for mail addresses, telephone and identity numbers and street
 names. The model is fitted on at most ``NAMES`` distinct senders (a documented bound): it knows their name words and
 the beginnings and endings that many of them share, so that it also knows names that no header holds.
 
-Replacement: every distinct entity gets a keyed surrogate of its own type and format. Digits and letters are permuted by a
-format-preserving Feistel network; name words keep their ending, which carries the gender, and get another beginning; the same
-word, number or address gets the same surrogate wherever and however it is written. Surrogates are compared across all
-entities, and those that two share are drawn again, so that different entities stay different.
+Replacement: every distinct entity gets a keyed surrogate of its own type and format. Digits and letters are permuted within
+their script by a format-preserving Feistel network; account, card and identity numbers keep their country, issuer or sex and
+get right check digits where the original has them. Name words keep their ending, which carries the gender, and get another
+beginning; an initial follows the one full name of the corpus it can stand for. The same word, number or address gets the
+same surrogate wherever and however it is written. The surrogates of all spellings are compared across all entities, and those
+that two share, or that are real numbers of the corpus, are drawn again until none are left.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -63,7 +65,17 @@ _ADDRESS = re.compile(
     rf"|(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino)(?: (?:de|del|de la))? {_UP}(?: {_UP})?,? \d+(?:, \d+º(?: ?[A-Z])?)?, \d{{5}} {_TOWN}"
     rf"|(?:{_UP}(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer)|(?:Am|An der|Im|Auf dem|Zum|Zur) {_UP}) \d+ ?[a-z]?, \d{{5}} {_TOWN})"
 )
-_DIGIT = re.compile(r"\d")
+#: A run of digits as telephone and identity numbers have; a date alone is none.
+_NUMBER = re.compile(r"\d[\d ()./+-]{4,}\d")
+_DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})\Z")
+#: What an address holds: a word of a street in English, or a postcode after a comma.
+_STREET_WORDS = ("St", "Ave", "Road", "Rd", "Lane", "Ln", "Dr", "Blvd", "Boulevard", "Court", "Ct", "Way", "Close", "Terrace", "Sq")
+_HOUSE = re.compile(r"\d[A-Za-z]? [A-ZÀ-ÖØ-Þ]")
+_POSTCODE = re.compile(r", \d{5} ")
+_NINE = re.compile(r"[6789]\d{8}")
+#: A title before two capitalised words tells a name, known or not.
+_TITLES = ["Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr", "Sig"]
+_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Sig|Sig\.ra)\.? (?P<name>{_UP} {_UP})")
 _MAIL_SIGN = re.compile(r"@|[\[({<] ?(?:at|AT|arroba) ?[\])}>]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 TYPES = ("email", "id_number", "phone", "address", "name")
@@ -108,8 +120,26 @@ class NameModel:
             known[word] = self._kind(word)
         return known[word]
 
+    def hits(self, token: str) -> tuple[tuple[str, int], ...]:
+        """The name words within a piece of text without blanks, and their kind; remembered too."""
+        known = self.__dict__.setdefault("_hits", {})
+        found = known.get(token)
+        if found is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            found = known[token] = tuple((w, k) for w in _WORD.findall(token) if (k := self.kind(w)) is not None)
+        return found
+
+    def following(self, k: int, key: bytes) -> dict[str, str]:
+        """Each beginning's surrogate under a key: the next one in a keyed order, so one to one and never itself."""
+        orders = self.__dict__.setdefault("_orders", {})
+        if (k, key) not in orders:
+            order = sorted(self.begins[k], key=lambda b: blake2b(b.encode(), key=key).digest())
+            orders[k, key] = dict(zip(order, order[1:] + order[:1]))
+        return orders[k, key]
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_hits", "_orders")}
 
     def _kind(self, word: str) -> int | None:
         w = fold(word)
@@ -152,50 +182,80 @@ def fit_names(messages: DataFrame, limit: int = NAMES) -> NameModel:
     return NameModel([n for r in chosen.collect() if (n := header_names(r["who"]))])
 
 
-def find(body: str, model: NameModel) -> list[tuple[int, int, str]]:
-    """(begin, end, type) of the personal data of a body, in code points, not overlapping, in order."""
+def find(body: str, model: NameModel, own: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
+    """(begin, end, type) of the personal data of a body, in code points, not overlapping, in order.
+
+    ``own``: folded name words of the message's own headers and their kind, known besides the model.
+    """
     taken: list[tuple[int, int, str]] = []
 
     def free(b: int, e: int) -> bool:
         return all(e <= x or y <= b for x, y, _ in here)
 
-    at, kind_of = 0, model.kind
+    kinds = dict(hit for token in set(body.split()) for hit in model.hits(token))
+    if own:
+        kinds |= {w: k for w in _WORD.findall(body) if w not in kinds and len(w) > 2 and (k := own.get(fold(w))) is not None}
+    signs = _MAIL_SIGN.search(body) is not None
+    numbers = [m.start() for m in _NUMBER.finditer(body) if not _DATE.match(m.group())]
+    nine = _NINE.search(body) is not None
+    streets = _HOUSE.search(body) is not None and any(w in body for w in _STREET_WORDS)
+    posts = _POSTCODE.search(body) is not None
+    titled = any(t in body for t in _TITLES) and _TITLED.search(body) is not None
+    at, number, many = 0, 0, len(numbers)
     for line in body.split("\n"):
         here: list[tuple[int, int, str]] = []
-        if _MAIL_SIGN.search(line):
+        if signs and _MAIL_SIGN.search(line):
             for m in _EMAIL.finditer(line):
                 local, _, host = m.group().partition("@")
-                if not (host.lower().startswith("lists.") or local.lower().startswith(("leave-", "unsubscribe", "noreply", "no-reply"))):
-                    here.append((m.start(), m.end(), "email"))
-                else:
-                    here.append((m.start(), m.end(), ""))
-        if _DIGIT.search(line):
-            for kind, pattern, group in (("id_number", _ID, 0), ("phone", _PHONE, 0), ("phone", _BARE_PHONE, "digits"), ("address", _ADDRESS, 0)):
+                listed = host.lower().startswith("lists.") or local.lower().startswith(("leave-", "unsubscribe", "noreply", "no-reply"))
+                here.append((m.start(), m.end(), "" if listed else "email"))
+        end, first = at + len(line), number
+        while number < many and numbers[number] < end:
+            number += 1
+        if number > first:
+            for kind, pattern, group in (("id_number", _ID, 0), ("phone", _PHONE, 0), ("phone", _BARE_PHONE, "digits"))[: 3 if nine and _NINE.search(line) else 2]:
                 for m in pattern.finditer(line):
                     if pattern is _BARE_PHONE and not m.group()[: m.start("digits") - m.start()].strip(" \t>|»") and m["end"] is None:
                         continue  # begins the line, but isn't alone on it
                     if free(m.start(group), m.end(group)):
                         here.append((m.start(group), m.end(group), kind))
-        # words that are part of names, and initials; what stands between two of them tells whether they are one name
-        words = [(m.start(), m.end(), w, k) for m in _WORD.finditer(line) if (k := kind_of(w := m.group())) is not None or (len(w) == 1 and w.isupper())]
-        i = 0
-        while i + 1 < len(words):
-            (b, e, _, k), (b2, e2, _, k2) = words[i], words[i + 1]
-            between = line[e:b2]
-            follows = i + 2 < len(words) and words[i + 2][3] == 1 and line[e2 : words[i + 2][0]] == " "
-            given_family = k == 0 and k2 == 1 and between in (" ", "\u00a0")
-            family_given = k == 1 and k2 == 0 and between in (" ", "\u00a0", ", ", ",") and not follows
-            initial_family = k is None and k2 == 1 and between in (". ", ".", ".\u00a0")
-            if (given_family or family_given or initial_family) and free(b, e2):
-                here.append((b, e2, "name"))
-                i += 2
-            else:
-                i += 1
+        if (posts and _POSTCODE.search(line)) or (streets and _HOUSE.search(line) and any(w in line for w in _STREET_WORDS)):
+            here += [(m.start(), m.end(), "address") for m in _ADDRESS.finditer(line) if free(m.start(), m.end())]
+        if any(w in line for w in kinds):
+            # words that are part of names, and initials; what stands between two of them tells whether they are one name
+            words = [(m.start(), m.end(), w, k) for m in _WORD.finditer(line) if (k := kinds.get(w := m.group())) is not None or (len(w) == 1 and w.isupper())]
+            i = 0
+            while i + 1 < len(words):
+                (b, e, _, k), (b2, e2, _, k2) = words[i], words[i + 1]
+                between = line[e:b2]
+                follows = i + 2 < len(words) and words[i + 2][3] == 1 and line[e2 : words[i + 2][0]] == " "
+                given_family = k == 0 and k2 == 1 and between in (" ", "\u00a0")
+                family_given = k == 1 and k2 == 0 and between in (" ", "\u00a0", ", ", ",") and not follows
+                initial_family = k is None and k2 == 1 and between in (". ", ".", ".\u00a0")
+                if (given_family or family_given or initial_family) and free(b, e2):
+                    here.append((b, e2, "name"))
+                    i += 2
+                else:
+                    i += 1
+        if titled:
+            here += [(*m.span("name"), "name") for m in _TITLED.finditer(line) if free(*m.span("name"))]
         taken += [(at + b, at + e, k) for b, e, k in sorted(here) if k]
-        at += len(line) + 1
+        at = end + 1
     return taken
 
 
+def header_words(model: NameModel, *headers: str | None) -> dict[str, int]:
+    """The folded name words of a message's own headers that ``model`` doesn't know, and their kind: 0 given, 1 family."""
+    out: dict[str, int] = {}
+    for header in headers:
+        for who in (header or "").split(","):
+            if names := header_names(who):
+                for k in (0, 1):
+                    if len(names[k]) > 2 and model.kind(names[k]) is None:
+                        out.setdefault(fold(names[k]), k)
+    return out
+
+
 def normal(kind: str, text: str) -> str:
     """One form for all the ways in which an entity is written."""
     if kind == "email":
@@ -207,7 +267,31 @@ def normal(kind: str, text: str) -> str:
     return " ".join(words if "," not in text or kind != "name" else words[1:] + words[:1])
 
 
-_VOWELS, _CONSONANTS, _DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789"
+def person(entity: str) -> str | None:
+    """The initial and the family name of a name in its one form."""
+    words = entity.split()
+    return f"{words[0][0]} {' '.join(words[1:])}" if len(words) > 1 else None
+
+
+#: Alphabets that letters are permuted within; letters of other scripts stay within their Unicode block.
+ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"]
+_STREET_WORD = re.compile(rf"(?:{STREETS}|Flat|Suite|Floor|Apt|Unit|bis|ter|rue|avenue|boulevard|place|allée|chemin|impasse|quai|Calle|C|Avda|Avenida|Plaza|Paseo|Camino|Am|An|Im|Auf|Zum|Zur|dem|der|de|del|des|du|sur|la|XZ)\Z")
+_STREET_END = re.compile(r"(?<=\w)(?:straße|strasse|str|weg|platz|allee|gasse|ring|damm|ufer)\Z|\Z")
+#: Fixed value: the control letters of Spanish identity numbers.
+CONTROL = "TRWAGMYFPDXBNJZSQVHLCKE"
+_DIGITS = ALPHABETS[0]
+
+
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """The alphabet of a folded character; '' for what is no letter or digit."""
+    for a in ALPHABETS:
+        if c in a:
+            return a
+    if not c.isalpha():
+        return ""
+    block, kind = ord(c) & ~0x7F, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == kind and x.isalpha() and x.upper().lower() == x)
 
 
 def _feistel(value: int, low: int, high: int, key: bytes) -> int:
@@ -223,10 +307,11 @@ def _feistel(value: int, low: int, high: int, key: bytes) -> int:
 
 
 def permuted(text: str, key: bytes) -> str:
-    """Digits, vowels and consonants for others of their kind, one to one among texts of this format; case and all else stay."""
-    alphabets = [next((s for s in (_DIGITS, _VOWELS, _CONSONANTS) if c in s), "") for c in fold_each(text)]
-    places = [i for i, s in enumerate(alphabets) if s]
-    half, plain = len(places) // 2, fold_each(text)
+    """Digits and letters for others of their alphabet, one to one among texts of this format; case and all else stay."""
+    plain = fold_each(text)
+    alphabets = [_alphabet(c) for c in plain]
+    places = [i for i, s in enumerate(alphabets) if plain[i] in s]
+    half = len(places) // 2
     sizes = [1, 1]
     values = [0, 0]
     for n, i in enumerate(places):
@@ -243,15 +328,69 @@ def permuted(text: str, key: bytes) -> str:
     return "".join(out)
 
 
+def walked(text: str, key: bytes, valid: Callable[[str], bool] = lambda x: True) -> str:
+    """``permuted`` until the result is valid and another text: one to one among the valid texts of this format.
+
+    A text that is the only valid one of its format stays as it is.
+    """
+    new = permuted(text, key)
+    start = new
+    while (new == text or not valid(new)) and (new := permuted(new, key)) != start:
+        pass
+    return new
+
+
 def fold_each(text: str) -> str:
     return "".join(f if len(f := fold(c)) == 1 else c for c in text)
 
 
-@lru_cache(maxsize=64)
-def _beginnings(model_key: tuple[str, ...], key: bytes) -> dict[str, str]:
-    """Each beginning's surrogate: the next one in a keyed order, so one to one and never itself."""
-    order = sorted(model_key, key=lambda b: blake2b(b.encode(), key=key).digest())
-    return dict(zip(order, order[1:] + order[:1]))
+def _luhn(digits: str) -> bool:
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def _mod97(account: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def _insee(digits: str) -> bool:
+    return 1 <= int(digits[3:5]) <= 12
+
+
+def id_surrogate(bare: str, key: bytes) -> str:
+    """Another number of the kind of ``bare`` (letters and digits only), valid where ``bare`` is.
+
+    Accounts keep their country, cards their first digit, French numbers the sex; social security numbers stay out of the areas
+    that are never given; British numbers keep their letters. Check digits are set anew where they are right.
+    """
+    if re.fullmatch(r"[A-Z]{2}\d{10,}", bare):
+        if _mod97(bare) != 1:
+            return bare[:2] + walked(bare[2:], key)
+        new = walked(bare[4:], key)
+        return f"{bare[:2]}{98 - _mod97(f'{bare[:2]}00{new}'):02d}{new}"
+    if re.fullmatch(r"\d{16}", bare):
+        if not _luhn(bare):
+            return bare[0] + walked(bare[1:], key)
+        new = bare[0] + walked(bare[1:15], key)
+        return next(new + c for c in _DIGITS if _luhn(new + c))
+    if re.fullmatch(r"[12378]\d{12}(?:\d\d)?", bare):
+        new = bare[0] + (walked(bare[1:13], key, lambda x: _insee(f"0{x}")) if _insee(bare) else walked(bare[1:13], key))
+        if len(bare) == 13:
+            return new
+        right = int(bare[13:]) == 97 - int(bare[:13]) % 97
+        return f"{new}{97 - int(new) % 97:02d}" if right else new + permuted(bare[13:], key)
+    if re.fullmatch(r"[XYZ]?\d{7,8}[A-Z]", bare):
+        digits = bare[1:-1] if bare[0] in "XYZ" else bare[:-1]
+        lead = bare[0] if bare[0] in "XYZ" else ""
+        number = lambda d: int(str("XYZ".index(lead)) + d if lead else d)
+        new = walked(digits, key)
+        return lead + new + (CONTROL[number(new) % 23] if bare[-1] == CONTROL[number(digits) % 23] else bare[-1])
+    if re.fullmatch(r"\d{9}", bare):
+        given = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
+        return walked(bare, key, given if given(bare) else lambda x: True)
+    if re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", bare):
+        return bare[:2] + walked(bare[2:8], key) + bare[8]
+    return walked(bare, key)
 
 
 def _cased(word: str, like: str) -> str:
@@ -259,33 +398,39 @@ def _cased(word: str, like: str) -> str:
 
 
 def name_word(word: str, model: NameModel, key: bytes) -> str:
-    """Another name with the same ending, hence gender and kind."""
+    """Another name with the same ending, hence gender and kind; a word that has no known ending changes within its script."""
     parted = model.parted(fold(word))
     if parted is None:
-        return permuted(word, key)
+        return walked(word, key)
     k, begin, end = parted
-    return _cased(_beginnings(tuple(model.begins[k]), key)[begin] + end, word)
+    return _cased(model.following(k, key)[begin] + end, word)
 
 
-def surrogate(kind: str, text: str, model: NameModel, secret: str, attempt: int = 0) -> str:
-    key = blake2b(f"{secret} {kind if kind != 'email' else 'name'} {attempt}".encode(), digest_size=32).digest()
+def _key(kind: str, secret: str, attempt: int) -> bytes:
+    """Mail addresses share the key of names, so that a name in an address changes like the name."""
+    return blake2b(f"{secret} {kind if kind != 'email' else 'name'} {attempt}".encode(), digest_size=32).digest()
+
+
+def surrogate(kind: str, text: str, model: NameModel, secret: str, attempt: int = 0, given: str | None = None) -> str:
+    """The surrogate of ``text``; ``given``: the given name that an initial stands for, where it is known."""
+    key = _key(kind, secret, attempt)
     if kind == "name":
-        return _WORD.sub(lambda m: name_word(m.group(), model, key) if len(m.group()) > 1 else permuted(m.group(), key), text)
+        initial = lambda c: _cased(fold_each(name_word(given, model, key))[0], c) if given else walked(c, key)
+        return _WORD.sub(lambda m: name_word(m.group(), model, key) if len(m.group()) > 1 else initial(m.group()), text)
     if kind == "email":
         keep = r"(?i:(?<=[\[({<])\s?(?:at|dot|arroba|punto|point|punkt)\s?(?=[\])}>])|(?:example|test|com|org|net|de|fr|es|eu)$)"
         return re.sub(rf"{keep}|[^\W\d_]+|\d+", lambda m: m.group() if re.fullmatch(keep, m.group()) or m.group().lower() in ("at", "dot") or m.end() == len(text) else name_word(m.group(), model, key), text)
     if kind == "phone":
         places = [i for i, c in enumerate(text) if c.isdigit()][-7:]
-        new, out = permuted("".join(text[i] for i in places), key), list(text)
+        new, out = walked("".join(text[i] for i in places), key), list(text)
         for i, c in zip(places, new):
             out[i] = c
         return "".join(out)
     if kind == "id_number":
-        kept = re.sub(r"\W", "", text)
-        new = iter(permuted(kept, key))
+        new = iter(id_surrogate(re.sub(r"\W", "", text), key))
         return "".join(next(new) if c.isalnum() else c for c in text)
-    streets = re.compile(rf"(?:{STREETS}|Flat|Suite|Apt|Unit|bis|rue|avenue|Calle|Avda|Am|An|Im|de|sur|la|straße|weg|XZ)\Z")
-    return re.sub(r"[^\W\d_]+|\d+", lambda m: m.group() if streets.match(m.group()) else permuted(m.group(), key), text)
+    # words of streets stay, and the last part of a German street's name
+    return re.sub(r"[^\W\d_]+|\d+", lambda m: m.group() if _STREET_WORD.match(m.group()) else walked(m.group()[: -len(x)], key) + x if (x := _STREET_END.search(m.group()).group()) else walked(m.group(), key), text)
 
 
 class PersonalData:
@@ -293,9 +438,12 @@ class PersonalData:
 
     Null and empty bodies hold nothing and come out as they are, with the flag 'No'. Rows without an id are rewritten too, but
     have no row in ``entities``. A message fetched again, repeated rows, extra columns and empty tables are harmless.
-    ``secret`` keys the surrogates: the same secret gives the same ones in every run.
+    ``secret`` keys the surrogates: the same secret gives the same ones in every run. If distinct surrogates can't be found in
+    ``DRAWS`` rounds, as in a format with more entities than there are texts, it raises ValueError.
     """
 
+    DRAWS = 64
+
     def __init__(self, messages: DataFrame, secret: str = "a local secret", names: int = NAMES):
         self.messages = messages
         self.secret = secret
@@ -303,33 +451,52 @@ class PersonalData:
 
         def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                rows = [(m, key, b, e, kind, body[b:e], normal(kind, body[b:e])) for m, key, body in zip(*(c.to_pylist() for c in batch.columns)) if body for b, e, kind in find(body, model)]
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], ["message_id", "body_key", "begin", "stop", "pii_type", "pii_text", "entity"])
-
-        read = messages.filter(F.col("body_text").isNotNull()).select("message_id", F.xxhash64("body_text").alias("body_key"), "body_text")
-        found = read.mapInArrow(batches, "message_id string, body_key long, begin int, stop int, pii_type string, pii_text string, entity string")
+                rows = []
+                for m, key, body, sender, to in zip(*(c.to_pylist() for c in batch.columns)):
+                    if body:
+                        rows += [(m, key, b, e, kind, t := body[b:e], x := normal(kind, t), person(x) if kind == "name" else None) for b, e, kind in find(body, model, header_words(model, sender, to))]
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)], ["message_id", "body_key", "begin", "stop", "pii_type", "pii_text", "entity", "person"])
+
+        read = messages.filter(F.col("body_text").isNotNull()).select("message_id", F.xxhash64("body_text").alias("body_key"), "body_text", "sender", "to_field")
+        found = read.mapInArrow(batches, "message_id string, body_key long, begin int, stop int, pii_type string, pii_text string, entity string, person string")
         self.found = materialize(found.distinct(), "entities")
         self.replaced = self._surrogates()
 
+    def _forms(self) -> DataFrame:
+        """pii_type, pii_text, entity, n, given: each way of writing each entity. An initial with a family name is the entity of
+        the one full name that it can stand for (``given`` then is its given name), if the corpus has exactly one."""
+        forms = materialize(self.found.groupBy("pii_type", "entity", "person", "pii_text").agg(F.count(F.lit(1)).alias("n")), "forms")
+        initial = F.length(F.substring_index("entity", " ", 1)) == 1
+        names = forms.filter("person IS NOT NULL")
+        full = names.filter(~initial).groupBy("person").agg(F.min("entity").alias("full"), F.max("entity").alias("other")).filter("full = other").select("person", "full")
+        short = names.filter(initial).join(full, "person", "left").withColumn("given", F.substring_index("full", " ", 1)).withColumn("entity", F.coalesce("full", "entity"))
+        rest = forms.filter(F.col("person").isNull() | ~initial).withColumn("given", F.lit(None).cast("string"))
+        columns = ["pii_type", "pii_text", "entity", "n", "given"]
+        return rest.select(*columns).unionAll(short.select(*columns))
+
     def _surrogates(self) -> DataFrame:
-        """``found`` with the surrogate of each piece; the pieces of one entity share the attempt, so they stay consistent."""
-        model, secret = self.model, self.secret
-        entities = self.found.groupBy("pii_type", "entity").agg(F.count(F.lit(1)).alias("n"), F.min("pii_text").alias("example"))
-        state = materialize(entities.withColumn("attempt", F.lit(0)), "keys")
-        for _ in range(8):
-            state = materialize(_with_surrogate(state, "example", "drawn", model, secret), "drawn")
-            form = F.when(F.col("pii_type").isin("phone", "id_number"), F.regexp_replace(F.upper("drawn"), "[^0-9A-Z+]", "")).otherwise(F.lower("drawn"))
-            shared = state.groupBy("pii_type", form.alias("form")).agg(F.count(F.lit(1)).alias("m"), F.min("entity").alias("stays")).filter("m > 1")
-            again = materialize(state.withColumn("form", form).join(shared, ["pii_type", "form"]).filter(F.col("entity") != F.col("stays")).select("pii_type", "entity", F.lit(1).alias("more")), "again")
+        """``found`` with the surrogate of each piece; the pieces of one entity share the attempt, so they stay consistent.
+
+        All spellings are compared in one form: entities that come out alike, or a number that is a real one of the corpus,
+        are drawn again, and only these, until there are none.
+        """
+        forms = materialize(_with_surrogate(self._forms().withColumn("attempt", F.lit(0)), self.model, self.secret), "drawn")
+        real = forms.filter(F.col("pii_type").isin("phone", "id_number")).select("pii_type", F.col("entity").alias("form")).distinct()
+        for _ in range(self.DRAWS):
+            shared = forms.groupBy("pii_type", "form").agg(F.min("entity").alias("stays"), F.max("entity").alias("other")).filter("stays <> other").select("pii_type", "form", "stays")
+            alike = forms.join(shared, ["pii_type", "form"]).filter(F.col("entity") != F.col("stays")).select("pii_type", "entity")
+            again = materialize(alike.unionAll(forms.join(real, ["pii_type", "form"], "left_semi").select("pii_type", "entity")).distinct(), "again")
             if again.isEmpty():
                 break
-            state = state.drop("drawn").join(again, ["pii_type", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
-        # each way of writing an entity is replaced once, then met by the pieces
-        forms = self.found.groupBy("pii_type", "entity", "pii_text").agg(F.count(F.lit(1)).alias("n")).join(state.select("pii_type", "entity", "attempt"), ["pii_type", "entity"])
-        forms = materialize(_with_surrogate(forms, "pii_text", "surrogate", model, secret), "forms")
-        heavy = heavy_keys(forms, ["pii_type", "pii_text"], "n", self.found.count())
-        return salted_join(self.found, forms.select("pii_type", "pii_text", "surrogate"), ["pii_type", "pii_text"], heavy, F.struct("message_id", "begin"))
+            redrawn = _with_surrogate(forms.join(again, ["pii_type", "entity"], "left_semi").drop("surrogate", "form").withColumn("attempt", F.col("attempt") + 1), self.model, self.secret)
+            forms = materialize(forms.join(again, ["pii_type", "entity"], "left_anti").unionByName(redrawn), "drawn")
+        else:
+            raise ValueError(f"no distinct surrogates in {self.DRAWS} rounds")
+        # each piece meets the surrogate of its spelling
+        keys = ["pii_type", "pii_text"]
+        heavy = heavy_keys(forms, keys, "n", self.found.count())
+        return salted_join(self.found.drop("entity", "person"), forms.select(*keys, "entity", "surrogate"), keys, heavy, F.struct("message_id", "begin"))
 
     def entities(self) -> DataFrame:
         """message_id, pii_type, pii_text: every distinct piece that is replaced."""
@@ -359,13 +526,16 @@ class PersonalData:
         return salted_join(bodies, pieces, ["body_key"], heavy, F.col("message_id"), "left").select("message_id", "body_text", "pieces").mapInArrow(batches, "message_id string, body_text string, pii_flag string")
 
 
-def _with_surrogate(df: DataFrame, text: str, out: str, model: NameModel, secret: str) -> DataFrame:
+def _with_surrogate(df: DataFrame, model: NameModel, secret: str) -> DataFrame:
+    """``df`` with ``surrogate`` and ``form``, the one form for all the ways in which the surrogate is written."""
     columns = df.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            kinds, texts, attempts = (batch.column(columns.index(c)).to_pylist() for c in ("pii_type", text, "attempt"))
-            new = [surrogate(k, t, model, secret, a) for k, t, a in zip(kinds, texts, attempts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*columns, out])
+            kinds, texts, attempts, given = (batch.column(columns.index(c)).to_pylist() for c in ("pii_type", "pii_text", "attempt", "given"))
+            new = [surrogate(k, t, model, secret, a, g) for k, t, a, g in zip(kinds, texts, attempts, given)]
+            # an initial that stands for a full name is compared as that name
+            same = [normal(k, n) if not g else f"{fold(name_word(g, model, _key(k, secret, a)))} {normal(k, n).split(' ', 1)[-1]}" for k, n, a, g in zip(kinds, new, attempts, given)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string()), pa.array(same, pa.string())], [*columns, "surrogate", "form"])
 
-    return df.mapInArrow(batches, f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, {out} string")
+    return df.mapInArrow(batches, f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, surrogate string, form string")

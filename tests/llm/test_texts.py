@@ -150,6 +150,68 @@ def test_surrogates_keep_kind_and_stay_distinct():
     assert s("email", "halvano.grauarovi@acme.io").split("@")[0].replace(".", " ") == name.lower() and s("email", "a.b@acme.io").endswith(".io")
 
 
+def test_surrogate_numbers_are_valid_where_the_original_is():
+    m = personal_data.NameModel([])
+    bare = lambda t: "".join(c for c in personal_data.surrogate("id_number", t, m, "k") if c.isalnum())
+    accounts, cards, people = set(), set(), set()
+    for i in range(300):
+        rest = f"37040044{i:010d}"
+        account = f"DE{98 - personal_data._mod97(f'DE00{rest}'):02d}{rest}"
+        new = bare(account)
+        assert new[:2] == "DE" and personal_data._mod97(new) == 1 and new != account
+        accounts.add(new)
+        card = next(f"41111111{i:07d}{c}" for c in "0123456789" if personal_data._luhn(f"41111111{i:07d}{c}"))
+        new = bare(card)
+        assert new[0] == "4" and personal_data._luhn(new) and new != card
+        cards.add(new)
+        person = f"{i + 12345678}{personal_data.CONTROL[(i + 12345678) % 23]}"
+        new = bare(person)
+        assert new[-1] == personal_data.CONTROL[int(new[:-1]) % 23] and new != person
+        people.add(new)
+        assert bare("907-31-2711") != "907312711" and bare("123-45-6789")[:3] not in ("000", "666")
+    assert len(accounts) == len(cards) == len(people) == 300
+    french = bare("1 85 05 78 006 084 91")
+    assert french[0] == "1" and 1 <= int(french[3:5]) <= 12 and int(french[13:]) == 97 - int(french[:13]) % 97
+    assert bare("X1234567L")[0] == "X" and bare("QQ 33 61 64 D").startswith("QQ") and bare("QQ 33 61 64 D").endswith("D")
+
+
+def test_surrogates_stay_in_their_script():
+    m = personal_data.NameModel([])
+    for text, low, high in (("Иван Петров", "\u0400", "\u04ff"), ("Γιώργος Παπάς", "\u0370", "\u03ff"), ("山田 太郎", "\u3400", "\u9fff"), ("שלום כהן", "\u0590", "\u05ff"), ("Łukasz Żak", "A", "\u017f")):
+        new = personal_data.surrogate("name", text, m, "k")
+        assert new != text and all(c == " " or low <= c <= high for c in new) and [c.isupper() for c in new] == [c.isupper() for c in text]
+        assert all(a != b for a, b in zip(new.split(), text.split()))
+
+
+def test_initials_follow_the_full_name(spark):
+    rows = [("m1", "Ann Smith <ann.smith@x.io>", None, "A. Smith and Ann Smith and Smith, Ann met B. Smith."), ("m2", "Carl Smith <c@x.io>", None, "Dr. Xiulan Okonkwo asks C. Smith, Carl Smith.")]
+    df = spark.createDataFrame(rows, "message_id string, sender string, to_field string, body_text string")
+    p = personal_data.PersonalData(df)
+    assert {r["pii_text"] for r in p.entities().collect()} == {"A. Smith", "Ann Smith", "Smith, Ann", "B. Smith", "Xiulan Okonkwo", "C. Smith", "Carl Smith"}
+    new = {r["pii_text"]: r["surrogate"] for r in p.replaced.collect()}
+    assert new["A. Smith"] == f"{new['Ann Smith'][0]}. {new['Ann Smith'].split()[1]}" and new["Smith, Ann"] == ", ".join(new["Ann Smith"].split()[::-1])
+    assert new["C. Smith"][0] == new["Carl Smith"][0] and new["C. Smith"] != new["A. Smith"]
+    marks = {r["message_id"]: r["body_text"] for r in p.rewritten().collect()}
+    names = [w.rstrip(".") for w in marks["m1"].split() if w.startswith("[NAME")]
+    assert len(names) == 4 and names[0] == names[1] == names[2] != names[3]
+
+
+def test_surrogates_are_found_again_with_the_same_types(spark, sf):
+    messages = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/message.parquet").filter("message_id IS NOT NULL").dropDuplicates(["message_id"])
+    p = personal_data.PersonalData(messages)
+    text = lambda df, c: {r["message_id"]: r[c] for r in df.collect()}
+    before, after = text(messages, "body_text"), text(p.rewritten(placeholders=False), "body_text")
+    kinds = lambda body: sorted(k for _, _, k in personal_data.find(body or "", p.model))
+    other = [i for i in before if kinds(before[i]) != kinds(after[i])]
+    assert len(other) <= len(before) // 100
+    forms = p.replaced.select("pii_type", "entity", "pii_text", "surrogate").distinct().collect()
+    assert len(forms) > 100 and all(r["surrogate"] != r["pii_text"] for r in forms)
+    of = {}
+    for r in forms:
+        of.setdefault((r["pii_type"], personal_data.normal(r["pii_type"], r["surrogate"])), set()).add(r["entity"])
+    assert all(len(entities) == 1 for entities in of.values())
+
+
 AREAS = [("food", "Cooking and kitchens"), ("law", "Courts and contracts")]
 
 
