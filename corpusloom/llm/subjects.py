@@ -1,14 +1,18 @@
 """Problem 4: the subject areas of each artifact, from a latent semantic space of its filename, summary and category.
 
-1. Filenames and summaries are cut into segments; segments that recur are the terms. An artifact is the set of terms it mentions.
+1. Filenames and summaries are cut into segments. Segments that recur are terms; running text (a segment of more than LONGEST
+   words) that holds none gives its recurring words and pairs of words as terms. An artifact is the set of its terms.
 2. The artifact-by-term matrix, weighted by inverse document frequency, is reduced by a truncated singular value decomposition
-   (through its Gram matrix, which all artifacts are counted into; subspace iteration on the driver over bounded counts).
+   (through its Gram matrix, which all artifacts are counted into; subspace iteration on the driver over bounded counts). Word
+   beginnings are columns too: they bring cognates of several languages together.
 3. Labelled artifacts seed several centroids for each subject. They are refined in turns: every term joins the nearest centroid
    if it is clearly nearest, and centroids move to the mean of their terms and seeds.
-4. A mention counts for the subject of the nearest centroid by cosine similarity, if that is high and no other subject's is
-   near; terms between several subjects decide nothing. Labelled artifacts then check the terms: one whose mention in labelled
-   artifacts often comes without the subject is ambiguous.
-5. Words that are no term are compared with the terms by edit distance (one insertion, deletion, change or swap, or a blank less).
+4. Refinement goes on over all artifacts: a term, or a text too rare for the space, belongs to the subject that the other
+   mentions of its artifacts (or their labels) have more often than chance explains; a term whose artifacts seldom have its
+   subject loses it. Labelled artifacts check the terms: one whose mention often comes without the subject is ambiguous.
+5. An artifact is embedded as the weighted sum of its mentions. It gets the subjects that a mention belongs to and whose centroid
+   the artifact itself is near by cosine similarity, so that a stray word of a long text decides nothing.
+6. Words that are no term are compared with the terms by edit distance (one insertion, deletion, change or swap, or a blank less).
 """
 
 from __future__ import annotations
@@ -17,24 +21,32 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.io import materialize
 from corpusloom.llm.quota_sample import BUCKETS, valid_buckets
 
-#: A term is mentioned in at least one of so many artifacts (and in at least 3). An artifact has few segments, so this also
-#: bounds the number of terms: so many times the mean number of segments.
+#: The space is fitted on terms that at least one of so many artifacts mentions (and at least 3). An artifact has few segments, so
+#: this bounds the terms on the driver: so many times the mean number of segments. Rarer ones are placed by complete counts (4.).
 ONE_IN = 5_000
-#: Pairs of terms count from one in so many artifacts on, which bounds the pairs on the driver in the same way.
+#: Pairs of terms enter the fit from one in so many artifacts on, which bounds the pairs on the driver in the same way.
 PAIR_ONE_IN = 100_000
+#: Letters of a word's beginning that is a column of its own.
+STEM = 5
+#: Rounds over all artifacts; least share of a text's artifacts that have its subject, and share of chance among such texts, at
+#: most; share below which a term loses its subject; least cosine of an artifact and a subject.
+TURNS, SHARE, CHANCE, LOST, ARTIFACT_NEAR = 3, 0.6, 0.1, 0.4, 0.2
+#: Artifacts up to which the agreement is told exactly; above, in as many steps.
+STEPS = 30
 #: Labelled artifacts that the classifier is fitted on, at most: those with the least hash.
 LABELLED = 200_000
-#: Dimensions of the space, centroids for each subject, rounds of refinement.
-DIMENSIONS, CENTROIDS, ROUNDS = 96, 6, 6
+#: Dimensions of the space: the first so many of one decomposition, which vote; centroids for each subject, rounds of refinement.
+DIMENSIONS, CENTROIDS, ROUNDS = (32, 48, 64, 80, 96, 112, 128), 6, 6
 #: Least cosine of a mention, greatest ratio of the second subject's, and greatest share of labelled artifacts that may contradict.
 NEAR, RATIO, CONTRADICT = 0.3, 0.6, 0.012
 #: Characters from which a misspelled term is looked for.
@@ -64,6 +76,15 @@ def segments(filename: str | None, summary: str | None) -> list[str]:
     return [s for s in out if s]
 
 
+def grams(words: list[str]) -> set[str]:
+    """The words of running text (of four letters or more) and its pairs of words."""
+    return {w for w in words if len(w) >= 4 and w.isalpha()} | {f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) + len(b) >= 8}
+
+
+def stems(term: str) -> set[str]:
+    return {w[:STEM] for w in term.split() if len(w) >= STEM}
+
+
 def _deletes(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
@@ -94,6 +115,7 @@ class Terms:
         self.words = {w for t in terms for w in t.split()}
 
     def find(self, segment: str) -> tuple[list[int], list[list[int]]]:
+        """Terms, and for each misspelled one those it may be."""
         words, exact, fuzzy = segment.split(), [], []
         rest: list[list[str]] = [[]]
         i = 0
@@ -155,7 +177,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def latent_space(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """A unit vector for each term from the weighted Gram matrix.
+    """A vector for each term from the weighted Gram matrix, the strongest dimensions first.
 
     The terms' rows are scaled by the roots of their sums first, so that a subject of a rarer language is as strong a dimension
     as one of the most frequent language.
@@ -163,12 +185,13 @@ def latent_space(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size
     if not len(rows):
         return np.zeros((size, 1))
     sums = np.bincount(rows, weights=values, minlength=size) + 1e-12
-    strength, vectors = truncated_svd(rows, columns, values / np.sqrt(sums[rows] * sums[columns]), size, DIMENSIONS)
-    return _unit(vectors * np.sqrt(strength))
+    strength, vectors = truncated_svd(rows, columns, values / np.sqrt(sums[rows] * sums[columns]), size, max(DIMENSIONS))
+    order = np.argsort(-strength)
+    return (vectors * np.sqrt(strength))[:, order]
 
 
-def decide(space: np.ndarray, seen: np.ndarray, labelled: list[tuple[list[int], set[int]]], described: list[tuple[list[int], int]], subjects: int) -> np.ndarray:
-    """The subject of each term, -1 for none. ``space``: a unit vector for each term; ``seen``: its artifacts."""
+def decide(space: np.ndarray, seen: np.ndarray, labelled: list[tuple[list[int], set[int]]], described: list[tuple[list[int], int]], subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subject of each term, -1 for none; the centroids and their subjects. ``space``: a unit vector for each term; ``seen``: its artifacts."""
     seeds: list[np.ndarray] = []
     owner: list[int] = []
     mass: list[float] = []
@@ -193,7 +216,7 @@ def decide(space: np.ndarray, seen: np.ndarray, labelled: list[tuple[list[int],
         mass += own.tolist()
     decided = np.full(len(space), -1)
     if not seeds:
-        return decided
+        return decided, np.zeros((0, space.shape[1])), np.zeros(0, int)
     owners, first, weight = np.array(owner), np.array(seeds), np.array(mass)[:, None]
     centroids = first
     for _ in range(ROUNDS):
@@ -209,13 +232,51 @@ def decide(space: np.ndarray, seen: np.ndarray, labelled: list[tuple[list[int],
             mine = (nearest == j) & (decided == owners[j])
             moved[j] = moved[j] + (np.sqrt(seen[mine])[:, None] * space[mine]).sum(0)
         centroids = _unit(moved)
-    # labelled artifacts that mention a term but lack its subject speak against it
-    mentioned, against = np.zeros(len(space)), np.zeros(len(space))
+    return np.where(contradicted(decided, labelled), -1, decided), centroids, owners
+
+
+def voted(space: np.ndarray, seen: np.ndarray, labelled: list[tuple[list[int], set[int]]], described: list[tuple[list[int], int]], subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``decide`` in the first dimensions of ``space``, by each of DIMENSIONS: the subject that half of them and three of four that decide agree on.
+
+    The centroids are those of all dimensions.
+    """
+    votes = np.zeros((len(space), subjects + 1))
+    for k in DIMENSIONS:
+        decided, centroids, owners = decide(_unit(space[:, :k]), seen, labelled, described, subjects)
+        votes[np.arange(len(space)), decided] += decided >= 0
+    top = votes.max(1)
+    return np.where((top * 2 >= len(DIMENSIONS)) & (top >= 0.75 * votes.sum(1)), votes.argmax(1), -1), centroids, owners
+
+
+def contradicted(decided: np.ndarray, labelled: list[tuple[list[int], set[int]]]) -> np.ndarray:
+    """Labels are complete: labelled artifacts that mention a term but lack its subject speak against it."""
+    mentioned, against = np.zeros(len(decided)), np.zeros(len(decided))
     for terms, of in labelled:
         for t in set(terms):
             mentioned[t] += 1
-            against[t] += decided[t] not in of
-    return np.where(against > CONTRADICT * mentioned, -1, decided)
+            against[t] += decided[t] >= 0 and decided[t] not in of
+    return against > CONTRADICT * mentioned
+
+
+def agreement_needed(cells: dict[tuple[int, int], int], rates: np.ndarray) -> dict[int, int]:
+    """From how many agreeing artifacts on a text of so many artifacts has a subject, rather than by chance.
+
+    ``cells``: texts by (artifacts, those that have the text's most frequent subject), up to STEPS artifacts. ``rates``: the share
+    of all artifacts that have each subject. Texts with little agreement tell how many texts have no subject, and the binomial
+    distribution how many of these agree by chance; they may be CHANCE of all that are accepted.
+    """
+    need: dict[int, int] = {}
+    for n in {n for n, _ in cells}:
+        of = np.array([cells.get((n, k), 0) for k in range(n + 1)], float)
+        terms = np.array([[comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)] for p in rates.tolist()]).reshape(-1, n + 1)
+        tail = np.minimum(1, terms[:, ::-1].cumsum(1)[:, ::-1].sum(0))
+        low = max((k for k in range(n + 1) if tail[k] > 0.5), default=0)
+        none = of[: low + 1].sum() / max(1e-9, 1 - (tail[low + 1] if low < n else 0))
+        for k in range(int(np.ceil(SHARE * n)), n + 1):
+            if of[k:].sum() and none * tail[k] <= CHANCE * of[k:].sum():
+                need[n] = k
+                break
+    return need
 
 
 class Subjects:
@@ -241,20 +302,30 @@ class Subjects:
 
         terms, artifacts = self._terms()
         self.terms = Terms(terms)
-        self.mentions = self._mentions()
-        seen, (rows, columns, counts) = self._counts(len(terms), artifacts)
+        self.mentions, more = self._with_grams(self._mentions(), len(terms), artifacts)
+        terms = terms + more
+        seen, (rows, columns, counts) = self._counts(terms, artifacts)
         size = len(seen)
         weight = np.log(max(artifacts, 1) / np.maximum(seen, 1)) + 1e-3
-        space = latent_space(rows, columns, counts * weight[rows] * weight[columns], size)[: len(terms)]
+        self.space = latent_space(rows, columns, counts * weight[rows] * weight[columns], size)[: len(terms)]
+        self.weight = weight[: len(terms)]
         labelled = self._labelled(number)
         described = [([t for s in segments(None, r["description"]) for t in self.terms.find(s)[0]], number[r["subject"]]) for r in named]
-        decided = decide(space, seen[: len(terms)], labelled, described, len(self.subjects))
-        self.decided = evidence.sparkSession.createDataFrame([(i, self.subjects[s]) for i, s in enumerate(decided.tolist()) if s >= 0], "term int, subject string")
+        decided, self.centroids, self.owners = voted(self.space, seen[: len(terms)], labelled, described, len(self.subjects))
+        self.decided, self.placed = decided, self._spark.createDataFrame([], "text string, subject int")
+        for _ in range(TURNS if len(self.centroids) else 0):
+            self._turn(labelled)
+
+    @property
+    def _spark(self) -> SparkSession:
+        return self.artifacts.sparkSession
 
     def _terms(self) -> tuple[list[str], int]:
         def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                rows = [(a, s) for a, f, c in zip(*(c.to_pylist() for c in batch.columns)) for s in {x for x in segments(f, c) if len(x.split()) <= LONGEST}]
+                rows = []
+                for a, f, c in zip(*(c.to_pylist() for c in batch.columns)):
+                    rows += [(a, x) for x in {x for x in segments(f, c) if x.count(" ") < LONGEST}]
                 ids, parts = zip(*rows) if rows else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], ["artifact_id", "segment"])
 
@@ -268,7 +339,10 @@ class Subjects:
         return sorted(t for t in number if not shorter(t)), artifacts
 
     def _mentions(self) -> DataFrame:
-        """artifact_id, term, exact, choice: a mention; of a misspelled one a row for each term it may be, with one ``choice``."""
+        """artifact_id, term, exact, choice, text, gram: a mention; of a misspelled term a row for each one it may be, with one ``choice``.
+
+        What is no term has the term -1 and its ``text``: a segment, or a word or pair of words of running text (a ``gram``).
+        """
         terms = self.terms
 
         def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,25 +351,42 @@ class Subjects:
                 for a, f, c in zip(*(c.to_pylist() for c in batch.columns)):
                     for s in segments(f, c):
                         exact, fuzzy = terms.find(s)
-                        rows.update((a, t, True, t) for t in exact)
-                        rows.update((a, t, False, some[0]) for some in fuzzy for t in some)
-                columns = zip(*rows) if rows else [()] * 4
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["artifact_id", "term", "exact", "choice"])
-
-        return materialize(self.artifacts.mapInArrow(find, "artifact_id long, term int, exact boolean, choice int").distinct(), "mentions")
-
-    def _counts(self, terms: int, artifacts: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Artifacts of each term (and of each category, which counts as a term of its own), and of each pair of terms."""
+                        rows.update((a, t, True, t, None, False) for t in exact)
+                        rows.update((a, t, False, some[0], None, False) for some in fuzzy for t in some)
+                        if not exact and not fuzzy and any(c.isalpha() for c in s):
+                            rows.update([(a, -1, False, -1, s, False)] if s.count(" ") < LONGEST else ((a, -1, False, -1, x, True) for x in grams(s.split())))
+                columns = zip(*rows) if rows else [()] * 6
+                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["artifact_id", "term", "exact", "choice", "text", "gram"])
+
+        return materialize(self.artifacts.mapInArrow(find, "artifact_id long, term int, exact boolean, choice int, text string, gram boolean").distinct(), "mentions")
+
+    def _with_grams(self, mentions: DataFrame, terms: int, artifacts: int) -> tuple[DataFrame, list[str]]:
+        """The mentions, where frequent words and pairs of words of running text are terms too, numbered from ``terms`` on."""
+        counts = mentions.filter("gram").groupBy("text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(3, artifacts // ONE_IN))
+        more = sorted(r["text"] for r in counts.collect())
+        numbered = self._spark.createDataFrame([(x, terms + i) for i, x in enumerate(more)], "text string, number int")
+        met = mentions.join(F.broadcast(numbered), "text", "left")  # bounded like the terms
+        number = F.when(F.col("gram"), F.col("number"))
+        columns = ["artifact_id", F.coalesce(number, "term").alias("term"), (F.col("exact") | number.isNotNull()).alias("exact"), "choice", F.when(number.isNull(), F.col("text")).alias("text")]
+        return (materialize(met.select(*columns), "mentions") if more else mentions.drop("gram")), more
+
+    def _counts(self, names: list[str], artifacts: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Artifacts of each term (and of each category and word beginning, which count as terms of their own), and of each pair of terms."""
+        terms = len(names)
+        shared = Counter(x for t in names for x in stems(t))
+        extra = {x: terms + max(BUCKETS) + 1 + i for i, x in enumerate(sorted(x for x, n in shared.items() if n > 1))}
+        begins = self._spark.createDataFrame([(t, extra[x]) for t, name in enumerate(names) for x in stems(name) if x in extra], "term int, stem int")
         buckets = valid_buckets(self.classifications).filter(F.col("bucket_number").isin(*BUCKETS))
         ids = self.artifacts.select("artifact_id").distinct()
         categories = ids.join(buckets.withColumnRenamed("row_id", "artifact_id"), "artifact_id").select("artifact_id", (F.col("bucket_number") + terms).cast("int").alias("term"))
-        every = self.mentions.filter("exact").select("artifact_id", "term").unionAll(categories)
+        exact = self.mentions.filter("exact").select("artifact_id", "term")
+        every = exact.unionAll(categories).unionAll(exact.join(F.broadcast(begins), "term").select("artifact_id", F.col("stem").alias("term")))  # the words of the terms
         of = every.groupBy("artifact_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))  # bounded by a filename and a summary
         pairs = of.select(F.explode("terms").alias("a"), "terms").select("a", F.explode("terms").alias("b")).filter("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         kept = pairs.filter((F.col("a") == F.col("b")) | (F.col("n") >= max(1, artifacts // PAIR_ONE_IN))).toPandas()
         a, b, n = (kept[c].to_numpy() for c in ("a", "b", "n"))
-        size = terms + max(BUCKETS) + 1
+        size = terms + max(BUCKETS) + 1 + len(extra)
         seen = np.zeros(size)
         seen[a[a == b]] = n[a == b]
         off = a != b
@@ -306,15 +397,87 @@ class Subjects:
         mentioned = self.mentions.filter("exact").join(chosen, "artifact_id").groupBy("artifact_id").agg(F.collect_set("term").alias("terms"), F.first("subjects").alias("subjects"))
         return [(r["terms"], {number[s] for s in r["subjects"]}) for r in mentioned.collect()]
 
+    def _decided(self, rows: DataFrame) -> DataFrame:
+        """Mentions with the number of their ``subject``, null for none."""
+        known = self._spark.createDataFrame([(t, s) for t, s in enumerate(self.decided.tolist()) if s >= 0], "term int, known int")
+        rare = rows.filter("term < 0").join(self.placed, "text", "left").select(*rows.columns, "subject")
+        return rows.filter("term >= 0").join(F.broadcast(known), "term", "left").select(*rows.columns, F.col("known").alias("subject")).unionAll(rare)  # terms are bounded, see ONE_IN
+
+    def _turn(self, labelled: list[tuple[list[int], set[int]]]) -> None:
+        """One refinement over all artifacts: counts, for each term and rare text, of its artifacts by the subjects they have otherwise."""
+        number = F.create_map(*[F.lit(x) for i, s in enumerate(self.subjects) for x in (s, i)])
+        units = materialize(self._decided(self.mentions.filter("exact OR term < 0")), "units")
+        has = units.filter("subject IS NOT NULL").groupBy("artifact_id", "subject").agg(F.count(F.lit(1)).alias("n"))
+        labels = self.labels.select("artifact_id", number[F.col("subject")].alias("subject"), F.lit(2**40).alias("n"))
+        # where there are labels, only they count
+        every = has.withColumn("labelled", F.lit(False)).unionAll(labels.withColumn("labelled", F.lit(True)))
+        of = every.groupBy("artifact_id").agg(F.max("labelled").alias("labelled"), F.collect_list(F.struct("labelled", "subject", "n")).alias("all"))  # at most the subjects
+        of = of.select("artifact_id", F.transform(F.filter("all", lambda x: x["labelled"] == F.col("labelled")), lambda x: F.struct(x["subject"].alias("s"), x["n"].alias("n"))).alias("had"))
+        of = materialize(of, "had")
+        rates = of.select(F.explode("had.s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each subject
+        whole = max(1, of.count())
+        others = F.transform(F.filter("had", lambda x: x["n"] > F.coalesce((F.col("subject") == x["s"]).cast("int"), F.lit(0))), lambda x: x["s"])
+        met = units.join(of, "artifact_id").select("term", "text", others.alias("others")).filter(F.size("others") > 0)
+        counted = met.select("term", "text", F.explode(F.concat(F.array(F.lit(-1)), "others")).alias("s")).groupBy("term", "text", "s").agg(F.count(F.lit(1)).alias("n"))
+        counted = materialize(counted, "counted")
+        best = counted.groupBy("term", "text").agg(F.max(F.when(F.col("s") < 0, F.col("n"))).alias("n"), F.max(F.when(F.col("s") >= 0, F.struct("n", (-F.col("s")).alias("less")))).alias("top"))
+        best = materialize(best.select("term", "text", "n", F.col("top.n").alias("k"), (-F.col("top.less")).alias("s")).filter("n >= 2 OR term >= 0"), "best")
+        steps, agreeing = F.least("n", F.lit(STEPS)), F.when(F.col("n") > STEPS, F.floor(F.col("k") * STEPS / F.col("n"))).otherwise(F.col("k"))
+        cells = best.groupBy(steps.alias("n"), agreeing.alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()  # at most STEPS squared rows
+        need = agreement_needed({(r["n"], r["k"]): r["m"] for r in cells}, np.array([r["n"] / whole for r in rates]))
+        enough = F.create_map(*[F.lit(x) for n, k in need.items() for x in (n, k)])[steps] if need else F.lit(None)
+        accepted = best.withColumn("ok", F.coalesce(agreeing >= enough, F.lit(False)))
+        self.placed = materialize(accepted.filter("term < 0 AND ok").select("text", F.col("s").alias("subject")), "placed")
+        own = counted.filter("term >= 0").select("term", "s", "n").collect()  # bounded by the terms and subjects
+        supports = {(r["term"], r["s"]): r["n"] for r in own}
+        new = self.decided.copy()
+        for r in accepted.filter("term >= 0").select("term", "s", "ok").collect():
+            t, n = r["term"], supports[r["term"], -1]
+            if self.decided[t] < 0:
+                new[t] = r["s"] if r["ok"] else -1
+            elif n >= 3 and supports.get((t, self.decided[t]), 0) < LOST * n:
+                new[t] = r["s"] if r["ok"] else -1
+        self.decided = np.where((new != self.decided) & contradicted(new, labelled), -1, new)
+
     def assigned(self) -> DataFrame:
         """artifact_id, subject."""
-        met = self.mentions.join(F.broadcast(self.decided), "term", "left")  # terms are bounded, see ONE_IN
-        exact = met.filter(F.col("exact") & F.col("subject").isNotNull()).select("artifact_id", "subject")
-        # a misspelled mention counts if all terms that it may be agree
-        guess = met.filter(~F.col("exact")).groupBy("artifact_id", "choice").agg(F.count(F.lit(1)).alias("n"), F.count("subject").alias("m"), F.min("subject").alias("subject"), F.max("subject").alias("other"))
-        guessed = guess.filter((F.col("n") == F.col("m")) & (F.col("subject") == F.col("other"))).select("artifact_id", "subject")
+        subjects, space, weight, owners, centroids = self.subjects, _unit(self.space).astype(np.float32), self.weight, self.owners, self.centroids.astype(np.float32)
+        middle = np.stack([_unit(centroids[owners == s].sum(0)) if (owners == s).any() else np.zeros(space.shape[1]) for s in range(len(subjects))]) if len(subjects) else np.zeros((0, space.shape[1]))
+        # a term that all artifacts placed, against the space, stands where its subject is
+        for s in range(len(subjects)):
+            of, mine = owners == s, self.decided == s
+            if of.any() and mine.any():
+                space[mine] = np.where((space[mine] @ centroids[of].T).max(1, keepdims=True) >= NEAR, space[mine], middle[s])
+
+        def judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                out = []
+                for artifact, mentions in zip(*(c.to_pylist() for c in batch.columns)):
+                    vector, named, guesses = np.zeros(space.shape[1]), set(), defaultdict(set)
+                    for m in mentions:
+                        s = m["subject"]
+                        if m["exact"]:
+                            vector += weight[m["term"]] * space[m["term"]]
+                        elif m["term"] < 0 and s is not None:
+                            vector += weight.max(initial=1.0) * middle[s]
+                        elif m["term"] >= 0:  # a misspelled mention counts if all terms that it may be agree
+                            guesses[m["choice"]].add(s)
+                            continue
+                        named |= {s} - {None}
+                    for some in guesses.values():
+                        if len(some) == 1 and None not in some:
+                            named |= some
+                            vector += weight.max(initial=1.0) * middle[next(iter(some))]
+                    length = np.linalg.norm(vector)
+                    cosine = np.maximum(centroids @ vector, middle[owners] @ vector) / max(length, 1e-12)
+                    out += [(artifact, subjects[s]) for s in named if not (owners == s).any() or cosine[owners == s].max() >= ARTIFACT_NEAR]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([s for _, s in out], pa.string())], ["artifact_id", "subject"])
+
+        rows = self._decided(self.mentions).filter("term >= 0 OR subject IS NOT NULL")
+        of = rows.groupBy("artifact_id").agg(F.collect_list(F.struct("term", "exact", "choice", "subject")).alias("mentions"))  # bounded by a filename and a summary
+        found = of.mapInArrow(judged, "artifact_id long, subject string")
         known = self.labels.join(self.artifacts.select("artifact_id").distinct(), "artifact_id", "left_semi")
-        return exact.unionAll(guessed).distinct().join(self.labels.select("artifact_id").distinct(), "artifact_id", "left_anti").unionAll(known.select("artifact_id", "subject"))
+        return found.join(self.labels.select("artifact_id").distinct(), "artifact_id", "left_anti").unionAll(known.select("artifact_id", "subject"))
 
     def composition(self) -> DataFrame:
         """subject, artifacts, share_bp (in ten-thousandths of all artifacts)."""

@@ -241,6 +241,54 @@ def test_subjects(spark):
     assert subjects.Subjects(evidence, log, areas.limit(0), known.limit(0)).assigned().count() == 0
 
 
+def test_subjects_of_prose(spark):
+    """Whole sentences, no lists of terms."""
+    import random
+
+    r = random.Random(3)
+    food = "simmer saucepan flour yeast oven kitchen chef dough garnish roast butter pastry broth skillet".split()
+    law = "plaintiff tribunal statute verdict counsel appeal lawsuit clause liability testimony judge contract evidence hearing".split()
+    filler = "yesterday everyone discussed another version which seemed rather useful although nobody wrote down enough about this point before leaving".split()
+    rows, labels, want = [], [], {}
+    for i in range(600):
+        words = r.sample(food if i % 2 else law, 5) + r.sample(filler, 8)
+        r.shuffle(words)
+        want[i] = "food" if i % 2 else "law"
+        rows.append((i, f"report_{i}.pdf", "The " + " ".join(words) + "."))
+        if i % 10 < 2:
+            labels.append((i, want[i]))
+    evidence = spark.createDataFrame(rows, "artifact_id long, filename string, content_summary string")
+    log = spark.createDataFrame([], "row_id long, bucket_number int, log_pos long")
+    s = subjects.Subjects(evidence, log, spark.createDataFrame(AREAS, "subject string, description string"), spark.createDataFrame(labels, "artifact_id long, subject string"))
+    got = {(x["artifact_id"], x["subject"]) for x in s.assigned().collect()}
+    truth = set(want.items())
+    assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.85 * len(got)
+
+
+def test_few_labels_find_what_many_do(spark):
+    """The small tables' subjects against those that the terms fitted on ten times as many artifacts and labels give."""
+    tables = lambda sf: [spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("evidence", "classifications", "subject_areas", "subject_labels")]
+    small, large = subjects.Subjects(*tables("sf0.01")), subjects.Subjects(*tables("sf0.1"))
+    got = {(r["artifact_id"], r["subject"]) for r in small.assigned().collect()}
+    labelled = {r["artifact_id"] for r in small.labels.collect()}
+    truth = set()
+    for r in small.artifacts.collect():
+        for s in subjects.segments(r["filename"], r["content_summary"]):
+            exact, fuzzy = large.terms.find(s)
+            of = [{large.decided[t]} for t in exact] + [{large.decided[t] for t in some} for some in fuzzy]
+            truth |= {(r["artifact_id"], large.subjects[min(x)]) for x in of if len(x) == 1 and min(x) >= 0}
+    truth, got = {x for x in truth if x[0] not in labelled}, {x for x in got if x[0] not in labelled}
+    assert len(got & truth) >= 0.87 * len(truth) and len(got & truth) >= 0.92 * len(got)
+
+
+def test_agreement_beyond_chance():
+    rates = np.full(10, 0.1)
+    noise = {(4, 1): 500, (4, 2): 430, (4, 3): 35, (4, 4): 1}
+    assert 4 not in subjects.agreement_needed(noise, rates)
+    assert subjects.agreement_needed({**noise, (4, 4): 60}, rates)[4] == 4
+    assert subjects.agreement_needed({}, rates) == {}
+
+
 @pytest.mark.parametrize("a, b, want", [("abc", "abc", True), ("abc", "abd", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "abcd", True), ("abc", "bca", False), ("abc", "abcde", False), ("ab", "ba", True)])
 def test_near(a, b, want):
     assert subjects.near(a, b) is want
