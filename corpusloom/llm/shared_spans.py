@@ -9,7 +9,8 @@
 
 Exact copies are one class with one representative; only representatives are compared. A seed in more than ``HOT`` places is
 not paired as it is: around each of its places all windows of ``span`` characters are hashed, and only places with an equal
-window meet, so that a short phrase in a third of all texts makes no pairs that aren't results.
+window meet, in blocks, so that a short phrase in a third of all texts makes no pairs that aren't results. These pairs are then
+chained and aligned like all others.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ HOT = 64
 REPEATS = 8
 #: Members from which a class of exact copies is linked to its least member only.
 EXPAND = 1000
+#: Places of a window in one block of the join of its places, about.
+IN_BLOCK = 1000
 #: Cost of a gap of one character in a chain, in characters of a match.
 GAP_COST = 0.1
 #: Characters that are hashed at a time.
@@ -189,9 +192,13 @@ def verbatim_runs(x: np.ndarray, y: np.ndarray, anchors: np.ndarray, k: int) ->
 
 
 def _edits(x: np.ndarray, y: np.ndarray) -> int:
-    """Edit distance of two short gaps; of long ones the upper bound."""
-    if len(x) * len(y) > 1_000_000 or not len(x) or not len(y):
-        return max(len(x), len(y))
+    """Edit distance of two gaps. What they begin or end with in common costs nothing; a row holds the shorter one."""
+    front = _same(x, y)
+    x, y = x[front:], y[front:]
+    back = _same(x[::-1], y[::-1])
+    x, y = sorted((x[: len(x) - back], y[: len(y) - back]), key=len, reverse=True)
+    if not len(y):
+        return len(x)
     steps = np.arange(len(y) + 1)
     row = steps.copy()
     for i, c in enumerate(x):
@@ -298,7 +305,8 @@ class SharedSpans:
         character earlier if it is among them too, else a value of this place alone.
         """
         span, k = self.span, self.k
-        of = places.groupBy("doc_id").agg(F.collect_set("place").alias("at"), F.max("vague").alias("vague"))  # bounded by the text
+        # bounded by the text; stored, so that the planner knows its size before it decides whether texts must be shuffled
+        of = materialize(places.groupBy("doc_id").agg(F.collect_set("place").alias("at"), F.max("vague").alias("vague")), "near")
         texts = self.one.join(of, "doc_id").select("doc_id", "text", "at", "vague")
 
         def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,8 +361,14 @@ class SharedSpans:
         windows = self._windows(hot)
         begins = windows.groupBy("window").agg(F.min("before").alias("low"), F.max("before").alias("high")).filter(F.col("low") != F.col("high")).select("window")
         begun = materialize(windows.join(begins, "window", "left_semi"), "begun")
-        a, b = (begun.select("window", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "place", "before"))) for x in "ab")
-        met = a.join(b, "window").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("before_a") != F.col("before_b")))
+        sizes = materialize(begun.groupBy("window").agg(F.ceil(F.count(F.lit(1)) / F.lit(IN_BLOCK)).cast("int").alias("blocks")), "blocks")
+        large = sizes.filter("blocks > 1")
+        # the places of a window meet in blocks, so that the pairs of a window in a third of all texts are made by many tasks
+        cut = begun.join(large, "window", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("doc_id", "place"), F.col("blocks")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        a, b = (cut.select("window", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "place", "before")), *keys) for x, keys in (
+            ("a", (F.col("mine").alias("block_a"), F.explode(every).alias("block_b"))), ("b", (F.explode(every).alias("block_a"), F.col("mine").alias("block_b")))))
+        met = a.join(b, ["window", "block_a", "block_b"]).filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("before_a") != F.col("before_b")))
         return met.groupBy("doc_id_a", "doc_id_b").agg(F.min(F.struct("place_a", "place_b")).alias("p")).select("doc_id_a", "doc_id_b", "p.place_a", "p.place_b")
 
     @staticmethod
@@ -413,9 +427,7 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b: the pairs of documents that share a span."""
-        linked = self._aligned(self._seeded()).select("doc_id_a", "doc_id_b")
-        hot = self._hot()  # an equal window of ``span`` characters is the proof, no text is needed
-        linked = (linked if hot is None else linked.unionByName(hot.select("doc_id_a", "doc_id_b"))).distinct()
+        linked = self.passages().select("doc_id_a", "doc_id_b").distinct()
         members = materialize(self.classes().filter(F.col("copies") > 1), "members")
         for x in "ab":  # a representative without copies stands for itself
             of = members.select(F.col("class_id").alias(f"doc_id_{x}"), F.col("doc_id").alias("member"))

@@ -40,7 +40,7 @@ PAIR_ONE_IN = 100_000
 STEM = 5
 #: Rounds over all artifacts; least share of a text's artifacts that have its subject, and share of chance among such texts, at
 #: most; share below which a term loses its subject; least cosine of an artifact and a subject.
-TURNS, SHARE, CHANCE, LOST, ARTIFACT_NEAR = 3, 0.6, 0.1, 0.4, 0.2
+TURNS, SHARE, CHANCE, LOST, ARTIFACT_NEAR = 2, 0.6, 0.1, 0.4, 0.2
 #: Artifacts up to which the agreement is told exactly; above, in as many steps.
 STEPS = 30
 #: Labelled artifacts that the classifier is fitted on, at most: those with the least hash.
@@ -449,29 +449,35 @@ class Subjects:
             if of.any() and mine.any():
                 space[mine] = np.where((space[mine] @ centroids[of].T).max(1, keepdims=True) >= NEAR, space[mine], middle[s])
 
+        most, count = float(weight.max(initial=1.0)), max(1, len(subjects))
+
         def judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                out = []
-                for artifact, mentions in zip(*(c.to_pylist() for c in batch.columns)):
-                    vector, named, guesses = np.zeros(space.shape[1]), set(), defaultdict(set)
-                    for m in mentions:
-                        s = m["subject"]
-                        if m["exact"]:
-                            vector += weight[m["term"]] * space[m["term"]]
-                        elif m["term"] < 0 and s is not None:
-                            vector += weight.max(initial=1.0) * middle[s]
-                        elif m["term"] >= 0:  # a misspelled mention counts if all terms that it may be agree
-                            guesses[m["choice"]].add(s)
-                            continue
-                        named |= {s} - {None}
-                    for some in guesses.values():
-                        if len(some) == 1 and None not in some:
-                            named |= some
-                            vector += weight.max(initial=1.0) * middle[next(iter(some))]
-                    length = np.linalg.norm(vector)
-                    cosine = np.maximum(centroids @ vector, middle[owners] @ vector) / max(length, 1e-12)
-                    out += [(artifact, subjects[s]) for s in named if not (owners == s).any() or cosine[owners == s].max() >= ARTIFACT_NEAR]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([s for _, s in out], pa.string())], ["artifact_id", "subject"])
+                ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                of = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                term, exact, choice, subject = (flat.field(c).fill_null(v).to_numpy(zero_copy_only=False) for c, v in (("term", -1), ("exact", False), ("choice", -1), ("subject", -1)))
+                # a misspelled mention counts if all terms that it may be agree
+                fuzzy = np.flatnonzero(~exact & (term >= 0))
+                key, place = np.unique(np.stack([of[fuzzy], choice[fuzzy]], 1), axis=0, return_inverse=True)
+                low, high = np.full(len(key), count), np.full(len(key), -1)
+                np.minimum.at(low, place.ravel(), subject[fuzzy])
+                np.maximum.at(high, place.ravel(), subject[fuzzy])
+                agreed = np.flatnonzero((low == high) & (low >= 0))
+                known, rare = np.flatnonzero(exact), np.flatnonzero((term < 0) & (subject >= 0))
+                where = np.concatenate([of[known], of[rare], key[agreed, 0]])
+                parts = np.concatenate([space[term[known]] * weight[term[known], None], most * middle[subject[rare]], most * middle[low[agreed]]]).astype(np.float32)
+                named = np.concatenate([of[known] * count + subject[known], of[rare] * count + subject[rare], key[agreed, 0] * count + low[agreed]])
+                named = np.unique(named[np.concatenate([subject[known] >= 0, np.ones(len(rare) + len(agreed), bool)])])
+                order = np.argsort(where, kind="stable")
+                begin = np.flatnonzero(np.diff(where[order], prepend=-1))
+                vectors = np.zeros((len(ids), space.shape[1]), np.float32)
+                if len(begin):
+                    vectors[where[order][begin]] = np.add.reduceat(parts[order], begin, axis=0)
+                cosine = np.maximum(vectors @ centroids.T, vectors @ middle[owners].T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                near = np.stack([cosine[:, owners == s].max(1, initial=-1.0) >= ARTIFACT_NEAR if (owners == s).any() else np.ones(len(ids), bool) for s in range(count)], 1)
+                named = named[near[named // count, named % count]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[named // count], pa.int64()), pa.array([subjects[s] for s in (named % count).tolist()], pa.string())], ["artifact_id", "subject"])
 
         rows = self._decided(self.mentions).filter("term >= 0 OR subject IS NOT NULL")
         of = rows.groupBy("artifact_id").agg(F.collect_list(F.struct("term", "exact", "choice", "subject")).alias("mentions"))  # bounded by a filename and a summary

@@ -308,3 +308,36 @@ def test_fuzzy_alignment():
     x, y = (shared_spans._code_points(t) for t in (a, b))
     passages_, runs = shared_spans.align(x, y, np.array([(5, 0), (40, 35), (78, 73)]), 10)
     assert passages_[0][:4] == (5, 95, 0, 90) and passages_[0][4] == 4 and max(n for _, _, n in runs) == 69
+
+
+def test_edit_distance_is_exact():
+    r = np.random.default_rng(5)
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            row, old = [i + 1], row
+            for j, d in enumerate(y):
+                row.append(min(old[j + 1] + 1, row[j] + 1, old[j] + (c != d)))
+        return row[-1]
+
+    for _ in range(60):
+        x, y = (r.integers(0, 3, r.integers(0, 12)) for _ in "xy")
+        assert shared_spans._edits(x, y) == plain(x.tolist(), y.tolist())
+    long = r.integers(0, 50, 3000)
+    assert shared_spans._edits(long, np.concatenate([long[:1000], long[1010:]])) == 10
+
+
+def test_boilerplate_in_many_texts_meets_in_blocks(spark, monkeypatch):
+    """A passage in 120 texts with other text around it, far more than a block holds and than a seed may stand in."""
+    monkeypatch.setattr(shared_spans, "IN_BLOCK", 16)
+    import random
+
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    common, short = words(40), words(20)
+    rows = [(i, f"{words(12)} {common} {words(12)}") for i in range(120)] + [(i, f"{words(30)} {short} {words(30)}") for i in range(120, 240)]
+    spans = shared_spans.SharedSpans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {tuple(x) for x in spans.pairs().collect()}
+    assert got == {(a, b) for a in range(120) for b in range(a + 1, 120)}
+    assert spans.passages().filter("longest < 279").count() == 0
