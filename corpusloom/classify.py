@@ -15,6 +15,8 @@ from corpusloom import vocab as V
 from corpusloom.functions.text import truncated
 from corpusloom.io import materialize
 from corpusloom.operators.merge import pending, second_pass_candidates
+from corpusloom.sinks.workbook import append_log
+from corpusloom.sources.files import read_log
 
 #: Rows of one call, characters of a description and of the other fields.
 BATCH, DESCRIPTION, FIELD = 25, 1200, 400
@@ -70,14 +72,22 @@ def valid(answers: list[dict], asked: set[int], llm_pass: int) -> list[tuple]:
     return list(kept.values())
 
 
+def answered(call: Callable[[], list[dict]]) -> list[dict]:
+    """The answers of a call with its retries; none if it fails for good: its rows stay pending and are asked again by the next run."""
+    try:
+        return retried(call)
+    except Exception:  # noqa: BLE001
+        return []
+
+
 def classify(items: DataFrame, classifier: Classifier = offline, llm_pass: int = 1, batch: int = BATCH) -> DataFrame:
-    """A label for each item that the classifier answers; calls of ``batch`` rows, across the rows of a task."""
+    """A label for each item that the classifier answers; calls of ``batch`` rows, across the rows of a task. Failing batches give none."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[dict] = []
 
         def flush(rows: list[dict]) -> pd.DataFrame:
-            answers = retried(lambda: classifier(rows))
+            answers = answered(lambda: classifier(rows))
             return pd.DataFrame(valid(answers, {r["row_id"] for r in rows}, llm_pass), columns=["row_id", "bucket_number", "bucket_name", "confidence", "rationale", "llm_pass"])
 
         for pdf in it:
@@ -100,8 +110,41 @@ def two_pass(evidence: DataFrame, done: DataFrame | None = None, fast: Classifie
     return first.join(second.select("row_id"), "row_id", "left_anti").unionByName(second)
 
 
+def logged(evidence: DataFrame, log: str, fast: Classifier = offline, full: Classifier = offline, rows: int = 100_000) -> DataFrame:
+    """The labels of ``evidence`` through an append-only log: what the log has isn't asked again, the rest is asked in parts of about
+    ``rows`` rows, each logged as a whole as soon as it is done. A run that ends half way loses the part it was in; the next one
+    goes on from the log.
+    """
+    spark = evidence.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    known = lambda: read_log(spark, log, LABELS, "row_id") if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    done = known()
+    todo = materialize(pending(evidence, done, "artifact_id", "row_id") if done is not None else evidence, "todo")
+    n = todo.count()
+    parts = -(-n // rows)
+    for part in range(parts):
+        append_log(two_pass(todo.filter(F.pmod(F.xxhash64("artifact_id"), F.lit(parts)) == part), None, fast, full), log)
+    done = known()
+    return done if done is not None else spark.createDataFrame([], LABELS)
+
+
 def subcategories(candidates: DataFrame, classifier: Callable[[int, list[dict]], list[dict]], batch: int = 50) -> DataFrame:
-    """row_id, sub_category (raw): batches within a category, made by sorting each task's rows, so that no category is one task."""
+    """row_id, sub_category (raw): batches within a category, made by sorting each task's rows, so that no category is one task.
+
+    Calls are retried; failing ones give nothing. Of the answers only those to asked rows count, the last of a row.
+    """
+
+    def ask(bucket: int, rows: list[dict]) -> pd.DataFrame:
+        asked = {int(r["row_id"]) for r in rows}
+        found = {}
+        for a in answered(lambda: classifier(bucket, rows)):
+            try:
+                row, name = int(a["row_id"]), str(a["sub_category"] or "").strip()
+            except (KeyError, TypeError, ValueError):
+                continue
+            if row in asked and name:
+                found[row] = name
+        return pd.DataFrame(list(found.items()), columns=["row_id", "sub_category"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[int, list[dict]] = {}
@@ -110,9 +153,9 @@ def subcategories(candidates: DataFrame, classifier: Callable[[int, list[dict]],
                 rows = waiting.setdefault(int(row["bucket_number"]), [])
                 rows.append(row)
                 if len(rows) == batch:
-                    yield pd.DataFrame(classifier(int(row["bucket_number"]), waiting.pop(int(row["bucket_number"]))), columns=["row_id", "sub_category"])
+                    yield ask(int(row["bucket_number"]), waiting.pop(int(row["bucket_number"])))
         for bucket, rows in waiting.items():
-            yield pd.DataFrame(classifier(bucket, rows), columns=["row_id", "sub_category"])
+            yield ask(bucket, rows)
 
     return candidates.select(F.col("artifact_id").alias("row_id"), "bucket_number", "rationale", "filename").mapInPandas(run, "row_id long, sub_category string")
 

@@ -62,9 +62,9 @@ TEXT_TOPICS = [
     ("Assets and liabilities statement.", ["assets and liabilities", "actif et passif", "bilan"]),
 ]
 FILE_KINDS = [
-    ("Photo / image.", "png jpg jpeg webp gif tiff bmp heic"), ("Video file.", "mp4 mov m4v avi mkv webm"), ("Audio recording.", "mp3 wav m4a aac flac ogg"), ("Archive file.", "zip 7z rar tar gz tgz bz2 xz"),
-    ("Company document.", "pdf doc docx ppt pptx"), ("Company spreadsheet.", "xlsx xlsm xls csv tsv"), ("Certificate / key material.", "key pem crt cer p12 pfx"), ("Database script / SQL export.", "sql"),
-    ("Source code file.", "py js ts tsx java go rb php c cc cpp h hpp rs"), ("Configuration file.", "yml yaml toml ini conf config env"), ("JSON data file.", "json"), ("Log file.", "log"),
+    ("Photo / image.", ["png", "jpg", "jpeg", "webp", "gif", "tiff", "bmp", "heic"]), ("Video file.", ["mp4", "mov", "m4v", "avi", "mkv", "webm"]), ("Audio recording.", ["mp3", "wav", "m4a", "aac", "flac", "ogg"]), ("Archive file.", ["zip", "7z", "rar", "tar", "gz", "tgz", "bz2", "xz"]),
+    ("Company document.", ["pdf", "doc", "docx", "ppt", "pptx"]), ("Company spreadsheet.", ["xlsx", "xlsm", "xls", "csv", "tsv"]), ("Certificate / key material.", ["key", "pem", "crt", "cer", "p12", "pfx"]), ("Database script / SQL export.", ["sql"]),
+    ("Source code file.", ["py", "js", "ts", "tsx", "java", "go", "rb", "php", "c", "cc", "cpp", "h", "hpp", "rs"]), ("Configuration file.", ["yml", "yaml", "toml", "ini", "conf", "config", "env"]), ("JSON data file.", ["json"]), ("Log file.", ["log"]),
 ]
 MONTH = r"((?:(?:0?[1-9]|1[0-2])[-_/](?:20)?\d{2})|(?:(?:20)?\d{2}[-_/](?:0?[1-9]|1[0-2])))"
 
@@ -123,7 +123,7 @@ def summary(filename: Column, path: Column, ext: Column, text: Column, folded_pa
             .when(has("mutuelle", "prevoyance", "insurance"), "Health / insurance documentation.").when(e.isin("xlsx", "xls") & has("bspce", "bsa", "cap"), "Equity / options tracking spreadsheet.")
             .when(readable & has("legal", "contract", "contrat"), "Company legal document.").when(readable & has("hr", "rh"), "HR document.").when(readable, "Company document.")
             .when((e == "eml") & (F.trim(body) != ""), compact(F.concat(F.lit("Email (.eml). Subject: "), F.trim(body)), 200)).when(e == "eml", "Email message (.eml)."),
-            reduce(lambda c, kind: c.when(e.isin(kind[1].split()), kind[0]), FILE_KINDS[1:], F.when(e.isin(FILE_KINDS[0][1].split()), FILE_KINDS[0][0])),
+            reduce(lambda c, kind: c.when(e.isin(kind[1]), kind[0]), FILE_KINDS[1:], F.when(e.isin(FILE_KINDS[0][1]), FILE_KINDS[0][0])),
             F.when(e != "", F.concat(F.upper(e), F.lit(" file."))).otherwise("Company file."),
         ))
     )

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +33,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one of our own only where the session names none."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
         found = _own_folders.setdefault(application, None) or tempfile.mkdtemp(prefix="corpusloom-")
         _own_folders[application] = found
@@ -43,9 +48,22 @@ def _own(spark: SparkSession) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this application stored. Results that still read them must have been consumed or written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+_scope: ContextVar[str] = ContextVar("scope", default="shared")
+
+
+@contextmanager
+def scope(name: str) -> Iterator[str]:
+    """Tables stored inside belong to one result and can be released with it: gives the name for ``release``."""
+    token = _scope.set(f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield _scope.get()
+    finally:
+        _scope.reset(token)
+
+
+def release(spark: SparkSession, of: str | None = None) -> None:
+    """Delete the tables stored in one scope, or all of this application. Results that still read them must have been consumed or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_own(spark)}/{of}" if of else _own(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -57,6 +75,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{_scope.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import vocab as V
+from corpusloom.functions.signals import instant
 from corpusloom.operators.recency import last_wins
 
 CLASS_COLUMNS = ["bucket_number", "bucket_name", "confidence", "rationale", "llm_pass"]
@@ -60,6 +61,14 @@ def second_pass_candidates(labelled: DataFrame) -> DataFrame:
     return labelled.filter((F.lower(F.trim("confidence")) == "low") & (F.coalesce(F.col("llm_pass"), F.lit(1)) == 1))
 
 
+def include_list(df: DataFrame, column: str, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows whose ``column`` is one of ``names``, in any case and with outer blanks, and the names that no row has."""
+    wanted = {n.strip().lower(): n for n in names if n.strip()}
+    rows = df.filter(F.lower(F.trim(column)).isin(*wanted) if wanted else F.lit(False))
+    found = {r[0] for r in rows.select(F.lower(F.trim(column))).distinct().collect()}  # at most the names
+    return rows, [n for key, n in wanted.items() if key not in found]
+
+
 def taxonomy(df: DataFrame) -> DataFrame:
     """bucket_number, label, ordinal."""
     return df.sparkSession.createDataFrame([(b, name, i) for b, names in V.SUBCATEGORIES.items() for i, name in enumerate(names)], "bucket_number int, label string, ordinal int")
@@ -76,7 +85,8 @@ def normalized_subcategory(df: DataFrame, bucket: str, raw: str, out: str) -> Da
 
 def resolve_shortcuts(scan: DataFrame) -> DataFrame:
     """Shortcuts with what they point to: drive_file_id, target_id, target_name, target_mime, status (ok, no_target, missing, folder, chained)."""
-    state = last_wins(scan.filter(F.col("drive_file_id").isNotNull()).select("drive_file_id", "name", "mime_type", "is_folder", "is_shortcut", "shortcut_target_id", F.coalesce("modified_time", F.lit("")).alias("modified_time")), "drive_file_id", "modified_time")
+    at = F.unix_micros(instant(F.col("modified_time"))).alias("at")  # spellings and offsets differ, so the text has no order
+    state = last_wins(scan.filter(F.col("drive_file_id").isNotNull()).select("drive_file_id", "name", "mime_type", "is_folder", "is_shortcut", "shortcut_target_id", at), "drive_file_id", "at")
     target = state.select(F.col("drive_file_id").alias("target_id"), F.col("name").alias("target_name"), F.col("mime_type").alias("target_mime"), F.col("is_folder").alias("_folder"), F.col("is_shortcut").alias("_shortcut"))
     links = state.filter("is_shortcut").select("drive_file_id", F.col("shortcut_target_id").alias("target_id"))
     status = F.when(F.coalesce(F.col("target_id"), F.lit("")) == "", "no_target").when(F.col("_folder").isNull(), "missing").when(F.col("_folder"), "folder").when(F.col("_shortcut"), "chained").otherwise("ok")

@@ -216,22 +216,24 @@ def _finish(turns: DataFrame, left: int) -> DataFrame:
         pdf = pdf.sort_values(["priority", "_turn"]).reset_index(drop=True)
         queues = {p: list(zip(q.index.tolist(), q["_size"].tolist(), q["_turn"].tolist())) for p, q in pdf.groupby("priority")}
         at, free, keep = dict.fromkeys(queues, 0), left, []
-        turn, going = 1, True
-        while going and free > 0:
-            going = False
-            for p in sorted(queues):
+        turn, live = 1, sorted(queues)
+        while live and free > 0:
+            still = []
+            for p in live:
                 q, i = queues[p], at[p]
                 if q[0][2] > turn:  # its first turn is the second
-                    going = True
+                    still.append(p)
                     continue
                 while i < len(q) and q[i][1] > free:
                     i += 1
                 if i < len(q):
                     keep.append(q[i][0])
                     free -= q[i][1]
-                    going, i = True, i + 1
+                    i += 1
+                if i < len(q):
+                    still.append(p)
                 at[p] = i
-            turn += 1
+            turn, live = turn + 1, still
         return pdf.loc[sorted(keep)]
 
     return wide.groupBy("_one").applyInPandas(take, wide.schema)

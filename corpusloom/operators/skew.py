@@ -45,21 +45,21 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], order: str, tie: str, cou
 
     ``counts`` has one row per group. A group of more than ``per_cell`` rows is cut into cells of equal ranges of the hash,
     ranked cell by cell and shifted by the sizes of the cells before: no task sorts a whole hot group, and the ranks are exact.
-    ``per_cell`` grows to total / HEAVY_ONE_IN, so that there are at most HEAVY_ONE_IN hot groups and twice as many cells,
-    which bounds both broadcasts. Keys must not be null.
+    Cells don't grow with the data: of more rows there are more cells, and what says where they begin is joined like any other
+    stored table. Keys must not be null.
     """
-    per_cell = max(per_cell, -(-total // HEAVY_ONE_IN))
     hot = counts.filter(F.col(count) > per_cell).select(*keys, F.ceil(F.col(count) / F.lit(float(per_cell))).cast("long").alias("_cells"))
     step = F.lit(float(2**64))
     cell = F.least(F.floor((F.col(order).cast("double") + F.lit(float(2**63))) / step * F.col("_cells")), F.col("_cells") - 1)
-    celled = df.join(F.broadcast(hot), list(keys), "left").withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("long"))
+    hot = materialize(hot, "hot")
+    celled = salted_join(df, hot, keys, heavy_keys(counts, keys, count, total), F.struct(order, tie), "left").withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("long"))
     sizes = celled.filter(F.col("_cells").isNotNull()).groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(sizes.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "cells")
     local = Window.partitionBy(*keys, "_cell").orderBy(order, tie)
     return (
         celled.withColumn("_rn", F.row_number().over(local))
-        .join(F.broadcast(offsets), [*keys, "_cell"], "left")
+        .join(offsets, [*keys, "_cell"], "left")
         .withColumn(rank, F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_rn", "_before", "_cell", "_cells")
     )

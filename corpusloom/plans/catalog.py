@@ -269,7 +269,7 @@ def folder_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH state AS (SELECT drive_file_id, name, mime_type, is_folder, is_shortcut, shortcut_target_id FROM scan_rows WHERE drive_file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY drive_file_id ORDER BY coalesce(modified_time, '') DESC, name DESC NULLS LAST,
+    WITH state AS (SELECT drive_file_id, name, mime_type, is_folder, is_shortcut, shortcut_target_id FROM scan_rows WHERE drive_file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY drive_file_id ORDER BY epoch_us(CAST(modified_time AS TIMESTAMPTZ)) DESC NULLS LAST, name DESC NULLS LAST,
       mime_type DESC NULLS LAST, is_folder DESC NULLS LAST, is_shortcut DESC NULLS LAST, shortcut_target_id DESC NULLS LAST) = 1),
     link AS (SELECT drive_file_id, shortcut_target_id AS target_id FROM state WHERE is_shortcut)
     SELECT l.drive_file_id, l.target_id, t.name AS target_name, t.mime_type AS target_mime,

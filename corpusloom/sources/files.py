@@ -179,15 +179,22 @@ def sheet_rows(data: bytes) -> dict[str, list[list[str]]]:
 
 
 def read_log(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """An append-only JSON-lines log: unreadable lines are dropped, of each key the last line counts."""
+    """An append-only JSON-lines log: unreadable lines are dropped, of each key the last line counts.
+
+    Later files come after earlier ones by the time they were written (names of parts say nothing); within a file the line counts.
+    """
     read = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    placed = read.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())).filter(F.col("_bad").isNull() & F.col(key).isNotNull())
+    placed = read.withColumn("_at", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())).filter(F.col("_bad").isNull() & F.col(key).isNotNull())
     return first_per_group(placed, [key], [F.desc("_at")]).drop("_bad", "_at")
 
 
 def read_manifest(spark: SparkSession, path: str, default_bucket: str = "Unclassified") -> DataFrame:
-    """The files of a manifest (one JSON document with ``files``), the first entry of a file_id, blank categories named."""
-    files = spark.read.option("multiLine", True).json(path).select(F.posexplode("files").alias("_at", "f")).select("_at", "f.*")
+    """The files of a manifest, the first entry of a file_id, blank categories named: one JSON document with ``files``, or a folder as ``sinks.workbook.manifest`` writes it."""
+    lines = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/files")
+    if lines.getFileSystem(spark._jsc.hadoopConfiguration()).exists(lines):
+        files = spark.read.json(f"{path}/files").withColumn("_at", F.monotonically_increasing_id())
+    else:
+        files = spark.read.option("multiLine", True).json(path).select(F.posexplode("files").alias("_at", "f")).select("_at", "f.*")
     once = first_per_group(files.filter(F.coalesce(F.col("file_id"), F.lit("")) != ""), ["file_id"], [F.asc("_at")]).drop("_at")
     bucket = F.col("bucket_name") if "bucket_name" in once.columns else F.lit(None).cast("string")
     return once.withColumn("bucket_name", F.coalesce(F.nullif(F.trim(bucket), F.lit("")), F.lit(default_bucket)))

@@ -53,27 +53,29 @@ SOURCE_HINTS = [
 ]
 
 #: Extensions by kind.
-CODE = "py pyi pyx rs go java kt kts c cc cpp cxx h hpp cs swift rb php sh bash zsh sql r scala clj cljs ex exs erl hs ml mli elm lua pl pm vim js mjs cjs jsx ts tsx vue svelte dart jl".split()
-IMAGE = "png jpg jpeg gif webp bmp tif tiff ico heic svg".split()
-AUDIO_VIDEO = "mp3 wav aac flac ogg m4a mp4 mov avi mkv webm".split()
-TABULAR = "csv tsv xlsx xlsm xls".split()
-STRUCTURED = "json yaml yml xml toml".split()
-TEXT = "txt md rst log".split()
+CODE = [
+    "py", "pyi", "pyx", "rs", "go", "java", "kt", "kts", "c", "cc", "cpp", "cxx", "h", "hpp", "cs", "swift", "rb", "php", "sh", "bash", "zsh", "sql", "r",
+    "scala", "clj", "cljs", "ex", "exs", "erl", "hs", "ml", "mli", "elm", "lua", "pl", "pm", "vim", "js", "mjs", "cjs", "jsx", "ts", "tsx", "vue", "svelte", "dart", "jl",
+]
+IMAGE = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff", "ico", "heic", "svg"]
+AUDIO_VIDEO = ["mp3", "wav", "aac", "flac", "ogg", "m4a", "mp4", "mov", "avi", "mkv", "webm"]
+TABULAR = ["csv", "tsv", "xlsx", "xlsm", "xls"]
+STRUCTURED = ["json", "yaml", "yml", "xml", "toml"]
+TEXT = ["txt", "md", "rst", "log"]
 #: Media that are described by their title only.
-TITLE_ONLY = "mp4 mov m4v avi mkv webm wmv flv mpeg mpg 3gp mp3 wav m4a aac flac ogg opus wma aiff aif alac caf".split()
+TITLE_ONLY = ["mp4", "mov", "m4v", "avi", "mkv", "webm", "wmv", "flv", "mpeg", "mpg", "3gp", "mp3", "wav", "m4a", "aac", "flac", "ogg", "opus", "wma", "aiff", "aif", "alac", "caf"]
 
 #: Modalities of MIME types.
-_OFFICE = "application/vnd.openxmlformats-officedocument."
 MIME_MODALITY = {
-    "application/vnd.google-apps.spreadsheet": ["tabular"], f"{_OFFICE}spreadsheetml.sheet": ["tabular"], "application/vnd.ms-excel": ["tabular"], "application/vnd.ms-excel.sheet.macroenabled.12": ["tabular"], "text/csv": ["tabular"],
-    "text/tab-separated-values": ["tabular"], "application/vnd.google-apps.document": ["text"], "application/msword": ["text"], f"{_OFFICE}wordprocessingml.document": ["text"], "application/pdf": ["text"], "text/plain": ["text"], "text/html": ["text"],
-    "application/rtf": ["text"], "text/rtf": ["text"], "application/vnd.google-apps.presentation": ["slides", "text"], "application/vnd.ms-powerpoint": ["slides", "text"], f"{_OFFICE}presentationml.presentation": ["slides", "text"],
+    "application/vnd.google-apps.spreadsheet": ["tabular"], "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ["tabular"], "application/vnd.ms-excel": ["tabular"], "application/vnd.ms-excel.sheet.macroenabled.12": ["tabular"], "text/csv": ["tabular"],
+    "text/tab-separated-values": ["tabular"], "application/vnd.google-apps.document": ["text"], "application/msword": ["text"], "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ["text"], "application/pdf": ["text"], "text/plain": ["text"], "text/html": ["text"],
+    "application/rtf": ["text"], "text/rtf": ["text"], "application/vnd.google-apps.presentation": ["slides", "text"], "application/vnd.ms-powerpoint": ["slides", "text"], "application/vnd.openxmlformats-officedocument.presentationml.presentation": ["slides", "text"],
     "application/json": ["structured_data"], "application/xml": ["structured_data"], "text/xml": ["structured_data"], "application/vnd.google-apps.drawing": ["image"],
 }
 #: Extensions shown for MIME types where a name has none.
 MIME_EXTENSION = {
-    "application/vnd.google-apps.document": "gdoc", "application/vnd.google-apps.spreadsheet": "gsheet", "application/vnd.google-apps.presentation": "gslide", "application/vnd.google-apps.drawing": "gdrawing", f"{_OFFICE}spreadsheetml.sheet": "xlsx",
-    "application/vnd.ms-excel": "xls", "application/vnd.ms-excel.sheet.macroenabled.12": "xlsm", f"{_OFFICE}wordprocessingml.document": "docx", "application/msword": "doc", f"{_OFFICE}presentationml.presentation": "pptx", "application/vnd.ms-powerpoint": "ppt",
+    "application/vnd.google-apps.document": "gdoc", "application/vnd.google-apps.spreadsheet": "gsheet", "application/vnd.google-apps.presentation": "gslide", "application/vnd.google-apps.drawing": "gdrawing", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.ms-excel": "xls", "application/vnd.ms-excel.sheet.macroenabled.12": "xlsm", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/msword": "doc", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx", "application/vnd.ms-powerpoint": "ppt",
     "application/pdf": "pdf", "text/plain": "txt", "text/csv": "csv", "text/tab-separated-values": "tsv", "text/html": "html", "application/json": "json", "application/rtf": "rtf", "text/rtf": "rtf",
 }
 #: Formats that native files are exported in.

@@ -37,7 +37,8 @@ def test_oracle(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).columns
+    got = QUERIES[name](spark, sf)
+    assert got.columns and got.count() >= 0
 
 
 def test_entry(spark):

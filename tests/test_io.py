@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import io
@@ -33,6 +34,33 @@ def test_materialize_and_release(spark):
     assert again.count() == 3
 
 
+def test_scratch_dir_must_be_shared_on_a_cluster(spark):
+    far = Unset(spark)
+    far.sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})()
+    with pytest.raises(ValueError):
+        io.scratch_dir(far)
+
+
+def test_release_of_one_result(spark):
+    with io.scope("one") as one:
+        a = io.materialize(spark.range(3), "t")
+    b = io.materialize(spark.range(4), "t")
+    io.release(spark, one)
+    assert b.count() == 4
+    with pytest.raises(Exception):
+        a.count()
+
+
+def test_ranks_of_a_hot_group_in_cells(spark):
+    rows = spark.range(3000).select((F.col("id") % 30 == 0).alias("k"), F.xxhash64("id").alias("h"), "id")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = skew.rank_in_groups(rows, ["k"], "h", "id", counts, "n", 3000, per_cell=200)
+    seen = {}
+    for r in sorted(got.collect(), key=lambda r: (r["k"], r["h"])):
+        seen[r["k"]] = seen.get(r["k"], 0) + 1
+        assert r["rank"] == seen[r["k"]]
+
+
 def test_spread(spark, sf):
     one = io.table(spark, sf, "documents")
     assert io.spread(one, "doc_id").rdd.getNumPartitions() >= 1 and io.spread(one, "doc_id").count() == one.count()

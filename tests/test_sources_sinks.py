@@ -188,3 +188,75 @@ def test_classifier(spark):
     assert classify.two_pass(rows, labels).count() == 0
     sub = classify.subcategories(rows.withColumn("bucket_number", F.lit(3)).withColumn("rationale", F.lit("r")), classify.offline_subcategory)
     assert sub.count() == 60
+
+
+def test_later_batches_win_in_logs(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for value in ("old", "new", "newest"):
+        workbook.append_log(spark.createDataFrame([(i, value) for i in range(20)], "id long, v string").repartition(4), path)
+    assert {r["v"] for r in files.read_log(spark, path, "id long, v string", "id").collect()} == {"newest"}
+
+
+def test_manifest_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", " "), ("b", "Two"), ("", "x")], "file_id string, bucket_name string")
+    workbook.manifest(df, df.limit(0), str(tmp_path / "m"), cap=5)
+    assert sorted((r["file_id"], r["bucket_name"]) for r in files.read_manifest(spark, str(tmp_path / "m")).collect()) == [("a", "Unclassified"), ("b", "Two")]
+
+
+def test_labels_go_on_from_the_log(spark, tmp_path):
+    """A classifier that fails for some rows leaves them pending; the next run asks for these only."""
+    import os
+
+    from corpusloom import classify
+    from corpusloom.plans import pipeline
+
+    asked = str(tmp_path / "asked")
+    os.makedirs(asked)
+
+    def counting(fail):
+        def call(items):
+            for item in items:
+                open(os.path.join(asked, str(item["row_id"])), "a").write("x")
+            if fail and any(item["row_id"] % 2 for item in items):
+                raise RuntimeError("no answer")
+            return [{**a, "confidence": "high"} for a in classify.offline(items)]
+
+        return call
+
+    rows = spark.createDataFrame([(i, f"f{i}.txt", "txt", f"p/f{i}.txt", "s", "c", "Local") for i in range(60)], "artifact_id long, filename string, extension string, path string, snippet string, content_summary string, source_guess string").repartition(60, "artifact_id")
+    log = str(tmp_path / "labels")
+    first = {r["row_id"] for r in classify.logged(rows, log, counting(True), counting(True), 25).collect()}
+    assert len(first) < 60
+    before = {n: os.path.getsize(os.path.join(asked, n)) for n in os.listdir(asked)}
+    labels = classify.logged(rows, log, counting(False), counting(False), 25)
+    assert labels.count() == 60
+    after = {n: os.path.getsize(os.path.join(asked, n)) for n in os.listdir(asked)}
+    assert all(after[str(i)] == before[str(i)] for i in first) and all(after[str(i)] > before.get(str(i), 0) for i in set(range(60)) - first)
+    tables = pipeline.build(rows.withColumns({"token_count": F.lit(1).cast("long"), "word_count": F.lit(1).cast("long"), "pii_flag": F.lit("No"), "pii_types": F.lit(""), "modality": F.lit("text"), "page_count": F.lit(1).cast("long"), "size_bytes": F.lit(1).cast("long"), "content_inventory": F.lit("")}), log=log, subcategory=classify.offline_subcategory)
+    got = tables["labelled"].select("bucket_number", "sub_category", "rationale").collect()
+    assert all(r["sub_category"] == classify.offline_subcategory(r["bucket_number"], [{"row_id": 1, "rationale": r["rationale"]}])[0]["sub_category"] for r in got)
+
+
+def test_subcategory_answers_are_checked(spark):
+    from corpusloom import classify
+
+    rows = spark.createDataFrame([(1, 3, "r", "f"), (2, 3, "r", "f")], "artifact_id long, bucket_number int, rationale string, filename string").coalesce(1)
+    odd = lambda bucket, items: [{"row_id": 1, "sub_category": "a"}, {"row_id": "1", "sub_category": " b "}, {"row_id": 9, "sub_category": "c"}, {"sub_category": "d"}, {"row_id": 2, "sub_category": None}]
+    assert [tuple(r) for r in classify.subcategories(rows, odd).collect()] == [(1, "b")]
+
+
+def test_shortcuts_compare_instants(spark):
+    from corpusloom.operators import merge
+
+    rows = [("s", "l", None, False, True, "old", "2024-03-01T23:30:00+09:00"), ("s", "l", None, False, True, "new", "2024-03-01T20:00:00Z"), ("new", "n", "text/plain", False, False, None, None)]
+    scan = spark.createDataFrame(rows, "drive_file_id string, name string, mime_type string, is_folder boolean, is_shortcut boolean, shortcut_target_id string, modified_time string")
+    assert [(r["target_id"], r["status"]) for r in merge.resolve_shortcuts(scan).collect()] == [("new", "ok")]
+
+
+def test_include_list_names_what_is_missing(spark):
+    from corpusloom.operators import merge
+
+    df = spark.createDataFrame([("A ",), ("b",), ("c",), (None,)], "name string")
+    rows, missing = merge.include_list(df, "name", ["a", "B", "x", " "])
+    assert sorted(r["name"] for r in rows.collect()) == ["A ", "b"] and missing == ["x"]
+    assert merge.include_list(df, "name", [])[0].count() == 0
