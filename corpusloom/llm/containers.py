@@ -139,6 +139,9 @@ class Containers:
     an item of no tokens and still gets a container. Repeated rows are items of their own. No documents, no containers.
     """
 
+    #: Tasks of one round at most; each packs its parts one after another.
+    TASKS = 100_000
+
     def __init__(self, documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, items: int = ITEMS, rounds: int = ROUNDS):
         self.capacity = capacity
         counted = with_token_count(documents.select("doc_id", "text"), "text", "all_tokens", vocabulary)
@@ -165,7 +168,9 @@ class Containers:
 
     def _round(self, items: DataFrame, r: int) -> DataFrame:
         capacity = self.capacity
-        done = items.groupBy("part").applyInPandas(lambda pdf: _pack(pdf, capacity, r)[["doc_id", "piece", "token_start", "tokens", "part", "container", "free", "certified"]], _SCHEMA)
+        # as many tasks as parts: packing is work by item, and the planner would join parts by their bytes
+        spread = items.repartition(min(items.select("part").distinct().count(), self.TASKS) or 1, "part")
+        done = spread.groupBy("part").applyInPandas(lambda pdf: _pack(pdf, capacity, r)[["doc_id", "piece", "token_start", "tokens", "part", "container", "free", "certified"]], _SCHEMA)
         return materialize(done, "packed")
 
     def contents(self) -> DataFrame:

@@ -21,7 +21,7 @@ from corpusloom.operators.skew import heavy_keys, salted_join
 
 #: Bisection steps taken in one pass.
 LEVELS = 8
-#: Codes stay within these bounds, so that differences fit 64 bits.
+#: Codes stay within these bounds, so that differences fit 64 bits; greater scores are two components.
 CODE_MAX = 2**62 - 1
 #: Bytes of an identifier in one component.
 SLICE = 7
@@ -39,6 +39,12 @@ def _descending(value: Column) -> Column:
     return F.when(v.isNull(), F.lit(-CODE_MAX)).otherwise(F.greatest(F.least(v, F.lit(CODE_MAX)), F.lit(1 - CODE_MAX)))
 
 
+def _halves(value: Column) -> list[Column]:
+    """The upper and lower 32 bits, for scores beyond CODE_MAX."""
+    v = value.cast("long")
+    return [F.when(v.isNull(), F.lit(-(2**32))).otherwise(F.shiftright(v, 32)), F.coalesce(v.bitwiseAND(F.lit(2**32 - 1)), F.lit(0))]
+
+
 def _ascending_slice(text: Column, k: int) -> Column:
     part = F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1 + SLICE * k, SLICE)
     return -F.conv(F.rpad(F.hex(part), 2 * SLICE, "0"), 16, 10).cast("long")
@@ -56,8 +62,10 @@ def top_per_group(df: DataFrame, group: str, descending: Sequence[str], identifi
     if n < 1:
         return rows.limit(0)
     rows = materialize(rows, "rows")
-    slices = -(-(rows.agg(F.max(F.octet_length(identifier))).first()[0] or 0) // SLICE)
-    codes = [_descending(F.col(c)) for c in descending] + [_ascending_slice(F.col(identifier), k) for k in range(slices)] + [-F.length(F.coalesce(F.col(identifier), F.lit("")))]
+    ranges = rows.agg(F.max(F.octet_length(identifier)), *[f(F.col(c).cast("long")) for c in descending for f in (F.min, F.max)]).first()
+    slices = -(-(ranges[0] or 0) // SLICE)
+    wide = [max(abs(ranges[1 + 2 * i] or 0), abs(ranges[2 + 2 * i] or 0)) >= CODE_MAX for i in range(len(descending))]
+    codes = [code for c, w in zip(descending, wide) for code in (_halves(F.col(c)) if w else [_descending(F.col(c))])] + [_ascending_slice(F.col(identifier), k) for k in range(slices)] + [-F.length(F.coalesce(F.col(identifier), F.lit("")))]
 
     def code(at: Column) -> Column:
         """The component number ``at``; a CASE, so that only the component in use is computed."""

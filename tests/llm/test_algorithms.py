@@ -341,3 +341,11 @@ def test_boilerplate_in_many_texts_meets_in_blocks(spark, monkeypatch):
     got = {tuple(x) for x in spans.pairs().collect()}
     assert got == {(a, b) for a in range(120) for b in range(a + 1, 120)}
     assert spans.passages().filter("longest < 279").count() == 0
+
+
+def test_top_of_scores_of_64_bits(spark):
+    rows = [("g", s, f"i{n}") for n, s in enumerate([2**63 - 1, 2**63 - 2, 2**62 + 5, 2**62 + 4, 0, -(2**63), -(2**63) + 1, None])]
+    df = spark.createDataFrame(rows, "g string, s long, i string")
+    for n in range(1, 9):
+        got = {r["i"] for r in group_top.top_per_group(df, "g", ["s"], "i", n).collect()}
+        assert got == {i for _, _, i in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0)))[:n]}
