@@ -214,7 +214,7 @@ _SUMMARY = (
     f" WHEN {_HAS('mutuelle', 'prevoyance', 'insurance')} THEN 'Health / insurance documentation.' WHEN e IN ('xlsx', 'xls') AND {_HAS('bspce', 'bsa', 'cap')} THEN 'Equity / options tracking spreadsheet.'"
     f" WHEN {_READABLE} AND {_HAS('legal', 'contract', 'contrat')} THEN 'Company legal document.' WHEN {_READABLE} AND {_HAS('hr', 'rh')} THEN 'HR document.' WHEN {_READABLE} THEN 'Company document.'"
     f" WHEN e = 'eml' AND trim(body) <> '' THEN CASE WHEN length({_ONE}) <= 200 THEN {_ONE} WHEN length(regexp_extract(substr({_ONE}, 1, 197), '^(.*) ', 1)) >= 118 THEN concat(rtrim(regexp_extract(substr({_ONE}, 1, 197), '^(.*) ', 1)), '...') ELSE concat(rtrim(substr({_ONE}, 1, 197)), '...') END WHEN e = 'eml' THEN 'Email message (.eml).' "
-    + " ".join(f"WHEN e IN ({', '.join(map(_q, kinds.split()))}) THEN {_q(label)}" for label, kinds in FILE_KINDS) + " WHEN e <> '' THEN concat(upper(e), ' file.') ELSE 'Company file.' END"
+    + " ".join(f"WHEN e IN ({', '.join(map(_q, kinds))}) THEN {_q(label)}" for label, kinds in FILE_KINDS) + " WHEN e <> '' THEN concat(upper(e), ' file.') ELSE 'Company file.' END"
 )
 
 
